@@ -7,17 +7,27 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import batched, text_of
 
-#: Entries a worker keeps per cache before starting it anew; bounds memory, never results.
-CACHE_ENTRIES = 400_000
-#: Blanks at which every supported vocabulary starts a new word.
+#: Words per generation of a worker's cache; two generations are kept, which bounds memory and never results.
+CACHE_WORDS = 500_000
+#: Words encoded at once.
+BLOCK_WORDS = 500
+#: Where Python sees blanks but the vocabularies don't; texts with these are split at plain blanks alone.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 BLANKS = re.compile(r"[ \n\t]+")
 
+
+def blank_split(text: str) -> list[str]:
+    """A text cut at blanks, at each of which every supported vocabulary starts a new word."""
+    return BLANKS.split(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -34,26 +44,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        words, known = BLANKS.split(text), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            fresh = {w for w in words if w not in known}
-        if len(known) + len(fresh) > CACHE_ENTRIES:
-            known.clear()
-            fresh = set(words)
-        todo = list(fresh)
-        for k in range(0, len(todo), 5000):
-            part = todo[k : k + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return b"".join([known[w] for w in words])
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words as one text and tell their ids apart by where each token starts."""
+        for k in range(0, len(words), BLOCK_WORDS):
+            part = words[k : k + BLOCK_WORDS]
+            starts = np.cumsum([0] + [len(w) + 1 for w in part])
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            at = np.array([o[0] for o in e.offsets], dtype=np.int64)
+            cuts = np.searchsorted(at, starts).tolist()
+            raw = ids.tobytes()
+            self.words.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.older = {}, self.words
+        split, fresh, get = [blank_split(t) for t in texts], set(), self.words.get
+        for words in split:
+            found = list(map(get, words))
+            if None in found:
+                fresh.update([w for w, ids in zip(words, found, strict=True) if ids is None])
+        for w in fresh & self.older.keys():
+            self.words[w] = self.older[w]
+        self._learn([w for w in fresh if w not in self.words])
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -79,8 +100,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096
         enc = encoder(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + tail
+            for doc, body in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = body + tail
                 for piece, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at : at + 4 * max_tokens]
                     for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
