@@ -132,6 +132,7 @@ def _epoch(capacity: int, islands: int, elites: int, seed: int):
         if own.empty:
             return own
         island = int(own["island"].iloc[0])
+        own = own.astype({"length": "int64"})
         packer = Packer(own["length"].tolist(), capacity, seed * 7919 + island)
         start = []
         if own["bin"].notna().all():
