@@ -73,31 +73,42 @@ class SeedIndex:
 
     def find(self, text: str) -> list[tuple[int, int, int, int, float]]:
         """The best overlap with each item: item, start token, tokens, matching tokens, similarity."""
-        get = self.codes.get
-        code = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
-        # a seed needs five known words nearby; most texts stop here
-        if np.count_nonzero(code) < 5:
-            return []
-        value, diagonals = self.value[code], set()
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: list[str]) -> list[list[tuple[int, int, int, int, float]]]:
+        """find() of each text. The texts' tokens are hashed as one array, kept apart by more zeros than a mask spans."""
+        get, gap = self.codes.get, max(map(len, MASKS))
+        codes: list[int] = []
+        bounds = []
+        for text in texts:
+            first = len(codes)
+            codes += [get(w, 0) for w in tokens(text)]
+            bounds.append((first, len(codes)))
+            codes += [0] * gap
+        code = np.array(codes, dtype=np.int64)
+        value, starts = self.value[code], np.array([a for a, _ in bounds], dtype=np.int64)
+        diagonals: set[tuple[int, int, int]] = set()
         for mask, (seen, key, owner, place) in zip(self.masks, self.tables, strict=True):
             h = self.hashes(value, mask)
-            at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)]) if len(h) else ()
-            if not len(at):
-                continue
+            at = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(key, h[at], "left"), np.searchsorted(key, h[at], "right")
             for p, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                diagonals.update((int(o), int(p) - int(q)) for o, q in zip(owner[a:b], place[a:b], strict=True))
-        best: dict[int, tuple[int, int, int, int, float]] = {}
-        for k, shift in diagonals:
-            item, own = self.items[k]
-            first, last = max(0, -shift), min(len(own), len(code) - shift)
+                d = int(np.searchsorted(starts, p, "right")) - 1
+                diagonals.update((d, int(o), int(p) - int(q)) for o, q in zip(owner[a:b], place[a:b], strict=True))
+        best: dict[tuple[int, int], tuple[int, int, int, int, float]] = {}
+        for d, k, shift in diagonals:
+            (low, high), (item, own) = bounds[d], self.items[k]
+            first, last = max(0, low - shift), min(len(own), high - shift)
             same = code[first + shift : last + shift] == own[first:last]
             a, b = longest_dense(same, self.similarity)
             n, matched = b - a, int(same[a:b].sum())
-            if n >= min(self.min_overlap, len(own)):
-                found = (item, a + first + shift, n, matched, matched / n)
-                best[k] = max(best.get(k, found), found, key=lambda x: (x[3], -x[1]))
-        return sorted(best.values())
+            if n and n >= min(self.min_overlap, len(own)):
+                found = (item, a + first + shift - low, n, matched, matched / n)
+                best[d, k] = max(best.get((d, k), found), found, key=lambda x: (x[3], -x[1]))
+        out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in texts]
+        for (d, _), found in sorted(best.items()):
+            out[d].append(found)
+        return out
 
 
 def longest_dense(same: np.ndarray, share: float) -> tuple[int, int]:
@@ -136,9 +147,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = shared.value.find
+            find = shared.value.find_all
             for batch in batches:
-                rows = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in find(text)]
+                rows = [(doc, *hit) for doc, hits in zip(batch.column(0).to_pylist(), find(batch.column(1).to_pylist()), strict=True) for hit in hits]
                 names = ["doc_id", "item_id", "start", "n_tokens", "n_matched", "similarity"]
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "similarity" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
@@ -156,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
         @F.pandas_udf("boolean")
         def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for part in texts:
-                yield part.map(lambda t: bool(shared.value.find(t)))  # noqa: B023
+                yield pd.Series([bool(hits) for hits in shared.value.find_all(part.tolist())], dtype=bool)  # noqa: B023
 
         docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
         docs = docs.filter(~leaks(text_of(text_col)))
