@@ -109,7 +109,7 @@ class Forest:
         return True
 
 
-def block_choices(n: int, radius: int, shard: int = 32) -> list[int]:
+def block_choices(n: int, radius: int, shard: int = 256) -> list[int]:
     """Bit masks such that values within the radius agree on all bits of some mask; more bits for more values."""
     for agree in range(1, 9):
         blocks = radius + agree
@@ -218,8 +218,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """One document of each component stays, the one that names it, columns unchanged; of repeated rows one stays."""
+    """One document of each component stays, the one that names it, columns unchanged; of repeated rows one stays.
+
+    Documents without an id count as one document. docs may not have a column _key.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
-    keep = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct(), "kept")
-    kept = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    keep = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct(), "kept")
+    # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by
+    return docs.withColumn("_key", key(id_col)).join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
