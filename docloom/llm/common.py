@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.session import shared_dir, staged, table
 
-__all__ = ["batched", "crc_mod", "shared_dir", "staged", "table", "text_of"]
+__all__ = ["batched", "crc_mod", "numbered", "shared_dir", "staged", "table", "text_of"]
 
 #: Rows handed to Python at a time; keeps a batch of very long texts within a worker's memory.
 BATCH_ROWS = 256
@@ -27,6 +27,15 @@ def batched(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(fn, schema)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed c0, c1 and so on, which clash with no working column, and the new names of some.
+
+    toDF(*docs.columns) on a result with the same columns undoes it; renaming costs nothing in the plan.
+    """
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*(f"c{k}" for k in range(len(lower)))), [f"c{lower.index(n.lower())}" for n in names]
+
+
 def crc_mod(name: str, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo mod."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(mod)

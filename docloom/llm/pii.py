@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_of
+from docloom.llm.common import numbered, text_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -97,8 +97,17 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Adds the column pii: accepted spans as array<struct<start,rank,end,kind,score>> by start, then kind as listed.
 
-    Offsets count code points, end exclusive. Null and empty texts have none. docs may not have columns _t, _d, _f_* or pii.
+    Offsets count code points, end exclusive. Null and empty texts have none. A column pii that docs has is replaced;
+    other columns may have any names.
     """
+    plain, (own,) = numbered(docs, text_col)
+    names = dict(zip(plain.columns, docs.columns, strict=True))
+    kept = [c for c, name in names.items() if name.lower() != "pii"]
+    return _with_spans(plain, own).select(*kept, "pii").toDF(*(names[c] for c in kept), "pii")
+
+
+def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """find_pii() over numbered columns."""
     digit = F.col("_t").rlike("[0-9]")
     gate = {"email": F.instr("_t", "@") > 0, "ip": digit & (F.instr("_t", ".") > 0), "card": digit, "phone": F.instr("_t", "+") > 0, "iban": digit, "ssn": digit & (F.instr("_t", "-") > 0)}
     src = docs.withColumn("_t", text_of(text_col)).withColumn("_d", F.when(digit, F.regexp_replace("_t", r"(?<=[0-9])[\x20-](?=[0-9])", "0")).otherwise(""))
@@ -108,10 +117,14 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with each accepted span replaced by its kind in brackets; where spans overlap, the first one's. Null stays null."""
+    """docs with each accepted span replaced by its kind in brackets; where spans overlap, the first one's. Null stays null.
+
+    Columns keep their names, which may be any.
+    """
+    plain, (own,) = numbered(docs, text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.col(text_col)
+    text = F.col(own)
     folded = F.aggregate("pii", zero, lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
         F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return find_pii(docs, text_col=text_col).withColumn(text_col, F.when(F.size("pii") > 0, folded).otherwise(text)).drop("pii")
+    return _with_spans(plain, own).withColumn(own, F.when(F.size("pii") > 0, folded).otherwise(text)).drop("pii").toDF(*docs.columns)

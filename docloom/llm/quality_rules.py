@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import text_of
+from docloom.llm.common import numbered, text_of
 
 BLANK = r"[\x20\x09-\x0D]"
 #: Very frequent words of the corpus languages.
@@ -94,7 +94,9 @@ def measure(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text", thresholds: list[tuple] | None = None) -> DataFrame:
-    """The documents that pass every rule, columns unchanged."""
+    """The documents that pass every rule, columns unchanged, whatever their names."""
+    plain, (text,) = numbered(docs, text_col)
     # a filter on a generated column stays above the measures; pushed below, it would repeat all their expressions
     kept = F.explode(F.array(verdicts(thresholds=thresholds)[1]))
-    return signals(docs, text_col=text_col).withColumn("_q_kept", kept).filter("_q_kept").drop("_q_kept", *(f"_q_{m}" for m in MEASURES))
+    good = signals(plain, text_col=text).withColumn("_q_kept", kept).filter("_q_kept")
+    return good.select(*plain.columns).toDF(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batched, staged, text_of
+from docloom.llm.common import batched, numbered, staged, text_of
 
 SEED = 42
 
@@ -220,10 +220,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """One document of each component stays, the one that names it, columns unchanged; of repeated rows one stays.
 
-    Documents without an id count as one document. docs may not have a column _key.
+    Documents without an id count as one document. Columns may have any names.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
+    plain, (own, text) = numbered(docs, id_col, text_col)
+    found = near_duplicates(plain, id_col=own, text_col=text, radius=radius)
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
     keep = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct(), "kept")
     # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by
-    return docs.withColumn("_key", key(id_col)).join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return plain.withColumn("_key", key(own)).join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").toDF(*docs.columns)

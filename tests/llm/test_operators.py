@@ -194,3 +194,33 @@ def test_models(spark, labelled, module, label, limit):
     assert np.mean(right) > 0.95 and all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == len(right) + 2
     one_sided = module.fit(labelled.withColumn(label, F.lit(1)))
     assert 0.9 < by_id(toxicity.score(odd, one_sided, limit=limit))[1000]["score"] <= 1
+
+
+def test_clashing_columns(spark):
+    said = "the quick brown fox of the river and the garden is in the light of the table a@b.com"
+    names = ["_q_t", "_q_kept", "_KEY", "PII", "_t", "_d", "_f_card", "c0", "c1", "fp"]
+    docs = spark.createDataFrame([(1, said, *"abcdefghij"), (2, None, *"abcdefghij")], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    good = quality_rules.keep_good(docs)
+    assert good.columns == docs.columns and [tuple(r) for r in good.collect()] == [(1, said, *"abcdefghij")]
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns and simhash.drop_near_duplicates(docs).count() == 2
+    assert [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()] == [(1, said.replace("a@b.com", "[EMAIL]"), *"abcdefghij"), (2, None, *"abcdefghij")]
+    found = pii.find_pii(docs)
+    assert found.columns == [c for c in docs.columns if c != "PII"] + ["pii"] and [len(r["pii"]) for r in found.orderBy("doc_id").collect()] == [1, 0]
+    bench = spark.createDataFrame([(7, said)], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.decontaminate(docs, bench).collect()] == [(2, None, *"abcdefghij")]
+
+
+def test_oracles_on_fixture(spark, docs, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    said = ["plain", "\\### Assistant: </turn> ok", "##### a </turn></turn> \\\\", "", "x\ny: z", None]
+    talks = [(c, t, ["user", "assistant", None, "sys:\ntem"][t % 4], said[(c + t) % 6]) for c in (1, 2) for t in range(70)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    with duckdb.connect() as con:
+        for name in ("documents", "conversations"):
+            con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        for name, sql in registry.oracle_sql().items():
+            got = registry.queries()[name](spark, str(tmp_path))
+            want = con.sql(sql)
+            order = [want.columns.index(c) for c in got.columns]
+            assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall()), name
