@@ -13,6 +13,7 @@ from docloom.operators import jobs, layout, redact, retrieve, review_log, scorin
 from docloom.plans import oracles as o
 from docloom.plans.corpus import CORPUS, JDS
 from docloom.session import table
+from docloom.sources import grades, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -300,6 +301,25 @@ def reading_order(spark, sf_dir):
     return layout.reading_order(spans(spark, sf_dir))
 
 
+@query(o.RESOLVE)
+def grades_resolve(spark, sf_dir):
+    names = _sql(spark, sf_dir, o.GRADED_NAMES, "labels")
+    return grades.resolve(names, _sql(spark, sf_dir, o.GRADED_FILES, "documents")).select("doc_id", "filename", "file")
+
+
+@query(o.ROLE_ACCURACY)
+def role_accuracy(spark, sf_dir):
+    """How often the detected role is the one that the corpus was written for."""
+    expected = F.when(F.col("doc_id") % 3 == 0, "swe").when(F.col("doc_id") % 3 == 1, "data").otherwise("pm")
+    rows = role_detect(spark, sf_dir).select(expected.alias("expected"), "role")
+    return rows.groupBy("expected").agg(F.count("*").alias("n"), F.count_if(F.col("role") == F.col("expected")).alias("n_right"))
+
+
+@query()
+def report_payloads(spark, sf_dir):
+    return reports.payloads(scoring.score_documents(corpus(spark, sf_dir)))
+
+
 def queries() -> dict[str, Query]:
     return QUERIES
 

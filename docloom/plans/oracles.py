@@ -171,3 +171,12 @@ def topk(on: str) -> str:
 BAND_ORDERS = "with x as (select o_orderkey, (o_orderkey % 101) / 10.0 as m from orders) select o_orderkey, " + GRADE + " as grade, case when m >= 8 then 'Strong' when m >= 6 then 'Solid' when m >= 4 then 'Needs work' else 'Weak' end as status from x"
 _SPANS = "select l_orderkey as doc_id, 1 as page_no, 612.0 as width, case when l_orderkey % 2 = 0 and l_linenumber % 2 = 0 then 330.0 else 40.0 end + (l_partkey % 3) as x0, 50.0 + 12 * (l_linenumber // 2) as y0, l_returnflag || cast(l_linenumber as varchar) as text from lineitem"
 COLUMNS = f"with s as ({_SPANS}), d as (select distinct doc_id, page_no, width, round_even(x0, 0) as x from s), g as (select *, lead(x) over (partition by doc_id, page_no order by x) as nx from d), w as (select doc_id, page_no, max(width) as width, max(nx - x) as gap, arg_max(nx, (nx - x) * 10000 - x) as r from g group by 1, 2) select w.doc_id, case when gap >= 0.15 * w.width and r >= 0.45 * w.width then 2 else 1 end::bigint as n_columns, (select count(*) from s where s.doc_id = w.doc_id)::bigint as n_spans from w"
+
+#: Graded names, half of them without a suffix, and the files they may mean.
+GRADED_NAMES = "select doc_id, 'cv' || cast(doc_id as string) || case when doc_id % 2 = 0 then '.pdf' else '' end as filename from labels"
+GRADED_FILES = "select 'cv' || cast(doc_id as string) || case doc_id % 5 when 1 then '.docx' when 2 then '.rtf' when 3 then '.txt' else '.pdf' end as file from documents"
+RESOLVE = f"""with g as ({GRADED_NAMES}), f as (select distinct file from ({GRADED_FILES}) x),
+t as (select doc_id, filename, k, file from g join (values (0, ''), (1, '.pdf'), (2, '.docx'), (3, '.txt')) s(k, suffix) on true join f on f.file = filename || suffix)
+select doc_id, filename, file from t qualify row_number() over (partition by doc_id, filename order by k) = 1"""
+ROLE_ACCURACY = f"""select case doc_id % 3 when 0 then 'swe' when 1 then 'data' else 'pm' end as expected, count(*)::bigint as n,
+count(*) filter (where role = case doc_id % 3 when 0 then 'swe' when 1 then 'data' else 'pm' end)::bigint as n_right from ({ROLE}) r group by 1"""
