@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
-from docloom.operators import jobs, layout, redact, retrieve, review_log, scoring, segment, stats
+from docloom.operators import jobs, layout, messages, redact, retrieve, review_log, scoring, segment, stats
 from docloom.plans import oracles as o
 from docloom.plans.corpus import CORPUS, JDS
 from docloom.session import table
@@ -317,7 +317,7 @@ def role_accuracy(spark, sf_dir):
 
 @query()
 def report_payloads(spark, sf_dir):
-    return reports.payloads(scoring.score_documents(corpus(spark, sf_dir)))
+    return reports.payloads(messages.add_messages(scoring.score_documents(corpus(spark, sf_dir))))
 
 
 def queries() -> dict[str, Query]:
