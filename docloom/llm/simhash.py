@@ -25,18 +25,23 @@ from docloom.llm.common import batched, numbered, staged, text_of
 SEED = 42
 
 
-def fingerprint(text: str, width: int = 4) -> int:
-    """SimHash of width-word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """XXH64 of each shingle of width words, one of all words if there are fewer, none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and blanks are ASCII
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
     starts = np.r_[0, ends[:-width]].tolist()
     stops = (ends[width - 1 :] - 1).tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+
+
+def fingerprint(text: str, width: int = 4) -> int:
+    """SimHash of width-word shingles: a bit is set if it is set in over half of the shingles' XXH64."""
+    h = shingle_hashes(text, width)
     counts = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 8192):
         part = h[k : k + 8192]
@@ -44,12 +49,12 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long. Null texts count as empty and have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return batched(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, fp long")
@@ -203,13 +208,13 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, its smallest linked doc_id.
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows give repeated results; a null
     doc_id takes part but never names a component that has another. Empty tables give none.
     """
-    fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
+    fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     # a null id sorts last: its class is named by another id where there is one
     classes = staged(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("rep")), "classes")
     linked = components(shard_links(classes, radius=radius))
@@ -217,13 +222,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(staged(named, "named"), "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One document of each component stays, the one that names it, columns unchanged; of repeated rows one stays.
 
     Documents without an id count as one document. Columns may have any names.
     """
     plain, (own, text) = numbered(docs, id_col, text_col)
-    found = near_duplicates(plain, id_col=own, text_col=text, radius=radius)
+    found = near_duplicates(plain, id_col=own, text_col=text, width=width, radius=radius)
     key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
     keep = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct(), "kept")
     # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by
