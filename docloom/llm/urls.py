@@ -59,7 +59,8 @@ def visible_quality(html: Column) -> Column:
 def reputation(pages: DataFrame, *, url_col: str = "url", outcome_col: str = "outcome", max_strength: float = 1000.0) -> DataFrame:
     """One row per host: n, k (good outcomes), the posterior's mean and standard deviation.
 
-    outcome is 1, 0 or null (unlabelled). Hosts without labels take their parent's prior. An empty table gives none.
+    outcome is 1, 0 or null (unlabelled). Hosts without labels take their parent's prior. A
+    level on which no member has siblings takes the strength of the level above. An empty table gives none.
     """
     host, _ = url_parts(F.col(url_col))
     seen = pages.select(host.alias("host"), F.col(outcome_col).cast("long").alias("y"))
@@ -71,21 +72,33 @@ def reputation(pages: DataFrame, *, url_col: str = "url", outcome_col: str = "ou
     total = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     root = (total["k"] + 1) / (total["n"] + 2)
 
-    def strength(level: DataFrame) -> float:
-        """Prior observations of a level by moments of its members' rates."""
-        s = level.filter("n > 0").agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - root, 2)).alias("v"), F.sum(1 / F.col("n")).alias("r")).first()
-        if s["g"] < 2:
-            return 2.0
-        spread, pure = s["g"] * s["v"] / ((s["g"] - 1) * s["n"]), root * (1 - root)
-        excess = spread - pure * s["r"] / s["g"]
-        return max_strength if excess <= 0 else min(max_strength, max(2.0, (pure - spread) / excess))
+    def strength(level: DataFrame, parents: DataFrame, on: list[str], rate: str, unknown: float) -> float:
+        """Prior observations of a level by moments of its members' rates around their parent's.
+
+        n times a member's squared distance from its parent's rate has mean q (1 + (n - 1) / (s + 1)) (1 - n / N), q
+        being the variance of one page and N the parent's pages. A member without siblings says nothing.
+        """
+        parents = parents.select(*on, F.col("n").alias("pn"), F.col("k").alias("pk"), (F.col(rate) * (1 - F.col(rate))).alias("q"))
+        rows = level.filter("n > 0").select("n", "k", *on)
+        rows = rows.join(parents, on) if on else rows.crossJoin(parents)
+        apart = F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("pk") / F.col("pn"), 2)
+        free = F.col("q") * (1 - F.col("n") / F.col("pn"))
+        s = rows.agg(F.sum(apart).alias("v"), F.sum(free).alias("noise"), F.sum(free * (F.col("n") - 1)).alias("w")).first()
+        if not s["w"]:
+            return unknown
+        share = (s["v"] - s["noise"]) / s["w"]
+        return max_strength if share <= 0 else min(max_strength, max(2.0, 1 / share - 1))
 
     def shrink(level: DataFrame, prior: Column, weight: float, name: str) -> DataFrame:
         return level.withColumn(name, (F.col("k") + prior * weight) / (F.col("n") + weight))
 
-    s1, s2, s3 = (strength(x) for x in (suffixes, domains, hosts))
-    by_suffix = shrink(suffixes, F.lit(root), s1, "suffix_rate").select("suffix", "suffix_rate")
-    by_domain = shrink(domains.join(by_suffix, "suffix"), F.col("suffix_rate"), s2, "domain_rate").select("domain", "suffix", "domain_rate")
+    everything = pages.sparkSession.createDataFrame([(int(total["n"]), int(total["k"]), float(root))], "n long, k long, rate double")
+    s1 = strength(suffixes, everything, [], "rate", 2.0)
+    suffix_rates = shrink(suffixes, F.lit(root), s1, "suffix_rate")
+    s2 = strength(domains, suffix_rates, ["suffix"], "suffix_rate", s1)
+    domain_rates = shrink(domains.join(suffix_rates.select("suffix", "suffix_rate"), "suffix"), F.col("suffix_rate"), s2, "domain_rate")
+    s3 = strength(hosts, domain_rates, ["domain", "suffix"], "domain_rate", s2)
+    by_domain = domain_rates.select("domain", "suffix", "domain_rate")
     a = F.col("k") + F.col("domain_rate") * s3
     b = F.col("n") - F.col("k") + (1 - F.col("domain_rate")) * s3
     mean = a / (a + b)
