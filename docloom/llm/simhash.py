@@ -49,15 +49,21 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long. Null texts count as empty and have fingerprint zero."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, keyed: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and with keyed the text's xxhash64 as key.
+
+    Null texts count as empty and have fingerprint zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(fps), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "key"][: len(columns)])
 
-    return batched(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), run, "doc_id long, fp long")
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.xxhash64(text).alias("key")] * keyed)
+    return batched(rows, run, "doc_id long, fp long" + ", key long" * keyed)
 
 
 class BKTree:
@@ -208,6 +214,13 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _grouped(fps: DataFrame, radius: int) -> DataFrame:
+    """fp, its smallest doc_id and its component, named by a fingerprint: ids needn't tell classes apart."""
+    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    linked = components(shard_links(classes.select("fp", F.col("fp").alias("rep")), radius=radius))
+    return staged(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "grouped")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, its smallest linked doc_id.
 
@@ -215,21 +228,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     doc_id takes part but never names a component that has another. Empty tables give none.
     """
     fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    # a null id sorts last: its class is named by another id where there is one
-    classes = staged(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("rep")), "classes")
-    linked = components(shard_links(classes, radius=radius))
-    named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(staged(named, "named"), "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), F.when(F.col("component_id") < 2**63 - 1, F.col("component_id")).alias("component_id"))
+    grouped = _grouped(fps, radius)
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(names, "component").select("fp", "component_id")
+    return fps.join(staged(named, "named"), "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component stays, the one that names it, columns unchanged; of repeated rows one stays.
+    """One row of each component stays, one with the smallest id, columns unchanged.
 
-    Documents without an id count as one document. Columns may have any names.
+    Null ids come last. Ids needn't be unique: rows of one id, or of none, whose texts aren't linked all stay. Columns
+    may have any names.
     """
     plain, (own, text) = numbered(docs, id_col, text_col)
-    found = near_duplicates(plain, id_col=own, text_col=text, width=width, radius=radius)
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
-    keep = staged(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct(), "kept")
+    # a row goes by its text and its id; rows alike in both are alike in their component too
+    key = {"_k": F.xxhash64(text_of(text)), "_i": F.coalesce(F.col(own).cast("long"), F.lit(-(2**63)))}
+    fps = staged(fingerprints(plain, id_col=own, text_col=text, width=width, keyed=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("key"))
+    rows = fps.groupBy("fp").agg(F.min(first).alias("own"))
+    keep = rows.join(_grouped(fps, radius), "fp").groupBy("component").agg(F.min("own").alias("own"))
+    keep = staged(keep.select(F.col("own.key").alias("_k"), F.coalesce("own.doc_id", F.lit(-(2**63))).alias("_i")), "kept")
     # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by
-    return plain.withColumn("_key", key(own)).join(keep.hint("merge"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key").toDF(*docs.columns)
+    return plain.withColumns(key).join(keep.hint("merge"), ["_k", "_i"], "left_semi").dropDuplicates(["_k", "_i"]).select(*plain.columns).toDF(*docs.columns)
