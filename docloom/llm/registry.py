@@ -73,6 +73,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _labels(spark: SparkSession, sf_dir: str, mod: int, held: int) -> DataFrame:
+    """The labels, without those of held-out documents."""
+    return table(spark, sf_dir, "labels").filter(crc_mod("doc_id", mod) != held)
+
+
 def _labelled(spark: SparkSession, sf_dir: str, label: str, mod: int, held: int) -> DataFrame:
     """Texts with a label, without the held-out rows; a document labelled twice counts twice."""
     labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", mod) != held).select("doc_id", label)
@@ -80,8 +85,9 @@ def _labelled(spark: SparkSession, sf_dir: str, label: str, mod: int, held: int)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(_labelled(spark, sf_dir, "toxic", 3, 1))
-    return toxicity.score(documents(spark, sf_dir), model, limit=0.7).withColumn("held_out", crc_mod("doc_id", 3) == 1)
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, _labels(spark, sf_dir, 3, 1))
+    return toxicity.score(docs, model, limit=0.7).withColumn("held_out", crc_mod("doc_id", 3) == 1)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Features are densities of lexicons, nearness of lexicon words to the second person, capitals, punctuation and
 obfuscation rates. Besides a fixed lexicon there are learned ones, of words and of word beginnings that are much
-more frequent in documents labelled toxic; they are counted over all labelled training documents. Trees are fitted
-on a bounded sample of training documents, and calibrated on a part of it that the trees don't see.
+more frequent in documents labelled toxic. Lexicons are counted and trees fitted on a bounded sample of the training
+documents; the calibration uses a part of it that the trees don't see.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batched, text_of
+from docloom.llm.common import batched, labelled_sample, text_of
 
 #: Insults, and words of the second person.
 INSULTS = frozenset("idiot idiots moron morons stupid trash garbage scum loser losers pathetic worthless disgusting clown clowns dumb fool imbecile jerk freak filthy vermin shut hate kill die ugly cretin connard abruti salaud merde dummkopf arschloch trottel blöd idiota imbécil estúpido basura asqueroso".split())
@@ -170,19 +170,21 @@ class ToxicityModel:
 
 
 def _lexicon(rows: DataFrame, key: Column, totals: tuple[int, int], size: int, least_docs: int, least_odds: float) -> dict[str, float]:
-    """Keys whose smoothed log odds of a toxic document are high: a bounded list from counts over all training rows."""
+    """Keys whose smoothed log odds of a toxic document are high: a bounded list from counts over the sample."""
     n0, n1 = totals
     counted = rows.select("y", F.explode(F.array_distinct(key)).alias("k")).groupBy("k").agg(F.sum("y").alias("t"), F.count("*").alias("n")).filter(F.col("n") >= least_docs)
     odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n0 + 1))
     return {r["k"]: float(r["o"]) for r in counted.withColumn("o", odds).filter(F.col("o") >= least_odds).orderBy(F.desc("o"), "k").limit(size).collect()}
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, lexicon_size: int = 2_000, least_docs: int = 6, seed: int = 5) -> ToxicityModel:
-    """Fit on labelled rows; trees see at most about most_rows of them, the learned lexicons count all.
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 20_000, lexicon_size: int = 2_000, least_docs: int = 6, seed: int = 5) -> ToxicityModel:
+    """Fit on about most_rows labelled documents at most, drawn by id (labelled_sample() says how).
 
-    Rows with a null label are ignored. Without both labels the model gives every text the smoothed share of ones.
+    labels has id_col and label_col; without it, docs has the labels. Rows with a null label are ignored, texts may be
+    empty, very long or repeated, and other columns are not read. Without both labels, on empty tables too, the model
+    gives every text the smoothed share of ones. Ties between splits go to the first feature and the lowest cut.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(text_of(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
+    rows = labelled_sample(docs, docs if labels is None else labels, label_col, id_col=id_col, text_col=text_col, most_rows=most_rows, seed=seed)
     count = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n, ones = count["n"], count["t"]
     prior = (ones + 1) / (n + 2)
@@ -201,9 +203,8 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
             x = [features(t, m.words, m.stems) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    share = min(1.0, most_rows / n)
-    sample = rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = batched(sample.select("text", "y"), run, "x array<double>, y int").orderBy(F.xxhash64("x"), "y").limit(2 * most_rows).toPandas()
+    got = batched(rows.select("text", "y"), run, "x array<double>, y int").toPandas()
+    got = got.iloc[np.lexsort(np.c_[np.array(got["x"].tolist()), got["y"]].T)]  # in whatever order tasks end
     x, y = np.array(got["x"].tolist(), dtype=float), got["y"].to_numpy(float)
     fold = np.random.default_rng(seed).permutation(len(y)) % 4 == 0
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
@@ -215,7 +216,11 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
 
 
 def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.7) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (score >= limit) for every document; null texts count as empty."""
+    """doc_id, score (0 to 1) and predicted (score >= limit) for every document; null texts count as empty.
+
+    Repeated rows give repeated results, and an empty table gives none; null ids stay null. Whole texts are read, however
+    long; other columns are not, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
