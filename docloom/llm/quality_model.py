@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batched, text_of
+from docloom.llm.common import batched, labelled_sample
 
 #: log2 of the number of hashed indicators.
 BITS = 18
@@ -81,14 +81,15 @@ def dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost:
     return w, bias
 
 
-def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "quality", most_rows: int = 6_000, most_chars: int = 40_000_000, smooth: float = 1.0, mix: float = 0.5, rounds: int = 20, seed: int = 3) -> QualityModel:
-    """Fit on a sample of at most about most_rows labelled rows; rows whose text is null count as empty.
+def fit(docs: DataFrame, labels: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6_000, most_chars: int = 40_000_000, smooth: float = 1.0, mix: float = 0.5, rounds: int = 20, seed: int = 3) -> QualityModel:
+    """Fit on about most_rows labelled documents at most, drawn by id (labelled_sample() says how).
 
-    Null labels are ignored. Without both labels every text gets the smoothed share of ones. Of longer samples than
-    most_chars characters, fewer rows are taken; texts are never cut.
+    labels has id_col and label_col; without it, docs has the labels. Of samples with more than most_chars characters
+    fewer documents are taken; texts are never cut. Null labels are ignored; texts may be empty or repeated; other columns
+    are not read. Without both labels, on empty tables too, every text gets the smoothed share of ones.
     """
-    rows = labelled.filter(F.col(label_col).isNotNull()).select(text_of(text_col).alias("text"), F.col(label_col).cast("int").alias("y"))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("c")).first()
+    rows = labelled_sample(docs, docs if labels is None else labels, label_col, id_col=id_col, text_col=text_col, most_rows=most_rows, most_chars=most_chars, seed=seed)
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n, ones = total["n"], total["t"]
     if ones in (0, n):
         share = (ones + 1) / (n + 2)
@@ -99,9 +100,7 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "qualit
             found = [indicators(t).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1)], names=["x", "y"])
 
-    share = min(1.0, most_rows / n, most_chars / max(1, total["c"]))
-    sample = rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = batched(sample, run, "x binary, y int").orderBy(F.xxhash64("x"), "y").limit(2 * most_rows).collect()
+    got = sorted(batched(rows.select("text", "y"), run, "x binary, y int").collect(), key=lambda r: (bytes(r["x"]), r["y"]))
     found = [np.frombuffer(r["x"], dtype="<i4") for r in got]
     y = np.array([1.0 if r["y"] else -1.0 for r in got])
     rng = np.random.default_rng(seed)

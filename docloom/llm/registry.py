@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, decontamination, packing, pii, quality_model, quality_rules, secrets, simhash, tokens, toxicity, urls
-from docloom.llm.common import crc_mod, documents, staged, table
+from docloom.llm.common import crc_mod, documents, table
 from docloom.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,12 +78,6 @@ def _labels(spark: SparkSession, sf_dir: str, mod: int, held: int) -> DataFrame:
     return table(spark, sf_dir, "labels").filter(crc_mod("doc_id", mod) != held)
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str, mod: int, held: int) -> DataFrame:
-    """Texts with a label, without the held-out rows; a document labelled twice counts twice."""
-    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", mod) != held).select("doc_id", label)
-    return staged(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id").select("text", label), "labelled")
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, _labels(spark, sf_dir, 3, 1))
@@ -91,8 +85,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality_model.fit(_labelled(spark, sf_dir, "quality", 5, 0))
-    return toxicity.score(documents(spark, sf_dir), model, limit=0.3).withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    docs = documents(spark, sf_dir)
+    model = quality_model.fit(docs, _labels(spark, sf_dir, 5, 0))
+    return toxicity.score(docs, model, limit=0.3).withColumn("held_out", crc_mod("doc_id", 5) == 0)
 
 
 def queries() -> dict[str, Query]:
