@@ -46,9 +46,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url and outcome of the pages: a page shows the document that its path ends in, good if labelled of quality and not toxic."""
+    _, path = urls.url_parts(F.col("url"))
+    shown = table(spark, sf_dir, "pages").select("url", F.regexp_extract(path, r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
+    good = (F.avg(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double")) >= 0.5).cast("int")
+    known = table(spark, sf_dir, "labels").groupBy("doc_id").agg(good.alias("outcome"))
+    return shown.join(known, "doc_id", "left").select("url", "outcome")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return urls.judge(pages.select("page_id", "url", urls.visible_quality(F.col("html")).alias("outcome")), URL_RULES)
+    rates = urls.reputation(labelled_pages(spark, sf_dir))
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, rates)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

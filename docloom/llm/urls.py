@@ -2,16 +2,21 @@
 
 Labelled page outcomes are summed by host. Rates shrink through beta-binomial priors, each level towards its
 parent: host, registered domain, suffix, all pages. The strength of a level's prior is estimated from how its
-children differ, and a page passes if the lower bound of its host's posterior reaches a limit. Only one row of
-totals per level reaches the driver.
+members differ around their parents, and is never more than the observations that the parent's own rate rests on. A
+page passes if a low quantile of its host's posterior reaches a share of the rate of all pages. Only one row of totals
+per level reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import staged
+from docloom.llm.common import batched, join_named, staged
 
 #: Second-level labels under which domains are registered.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -46,76 +51,100 @@ def site_levels(host: Column) -> tuple[Column, Column]:
     return take(width + 1), take(width)
 
 
-def visible_quality(html: Column) -> Column:
-    """1 if a page's visible text reads like prose, 0 if not, null without text: an outcome where none is labelled."""
-    text = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</\1>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->|<[^>]*>", " "), "&amp;", "&")
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    marks = F.length(F.regexp_replace(text, r"[^#*$%&|!]", ""))
-    return F.when(letters > 0, ((marks * 20 < letters) & (upper * 2 < letters)).cast("int"))
+#: Points of the grid on which a posterior is summed up.
+GRID = 4097
+
+
+def beta_quantile(a: np.ndarray, b: np.ndarray, q: float) -> np.ndarray:
+    """The q-quantile of beta distributions, by the trapezoid rule over the log odds, where the density is log-concave."""
+    a, b = np.asarray(a, dtype=float)[:, None], np.asarray(b, dtype=float)[:, None]
+    mode, sd = np.log(a) - np.log(b), np.sqrt(1 / a + 1 / b)
+    t = np.linspace(mode - np.maximum(9 * sd, 25 / a), mode + np.maximum(9 * sd, 25 / b), GRID, axis=1)[:, :, 0]
+    log_density = a * t - (a + b) * np.logaddexp(0, t)
+    density = np.exp(log_density - log_density.max(axis=1, keepdims=True))
+    area = np.concatenate([np.zeros((len(a), 1)), np.cumsum((density[:, 1:] + density[:, :-1]) / 2, axis=1)], axis=1)
+    area /= area[:, -1:]
+    found = np.array([np.interp(q, row, x) for row, x in zip(area, t, strict=True)])
+    return 1 / (1 + np.exp(-found))
+
+
+def _strength(level: DataFrame, unknown: float) -> float:
+    """Prior observations of a level by moments of its members' rates around their parent's; infinite if they differ no more than chance.
+
+    n times a member's squared distance from its parent's rate has mean q (1 + (n - 1) / (s + 1)) (1 - n / N), q
+    being the variance of one page and N the parent's pages. A member without siblings says nothing.
+    """
+    apart = F.col("n") * F.pow(F.try_divide("k", "n") - F.try_divide("pk", "pn"), 2)
+    free = F.col("prate") * (1 - F.col("prate")) * (1 - F.try_divide("n", "pn"))
+    s = level.filter("n > 0").agg(F.sum(apart).alias("v"), F.sum(free).alias("noise"), F.sum(free * (F.col("n") - 1)).alias("w")).first()
+    if not s["w"]:
+        return unknown
+    share = (s["v"] - s["noise"]) / s["w"]
+    return float("inf") if share <= 0 else max(2.0, 1 / share - 1)
+
+
+def _shrunk(level: DataFrame, strength: float) -> DataFrame:
+    """The level with its prior's weight, its rate and how many observations that rests on."""
+    level = level.withColumn("weight", F.least(F.lit(strength), F.col("psize")))
+    return level.withColumns({"rate": (F.col("k") + F.col("prate") * F.col("weight")) / (F.col("n") + F.col("weight")), "size": F.col("n") + F.col("weight")})
 
 
-def reputation(pages: DataFrame, *, url_col: str = "url", outcome_col: str = "outcome", max_strength: float = 1000.0) -> DataFrame:
-    """One row per host: n, k (good outcomes), the posterior's mean and standard deviation.
+def reputation(pages: DataFrame, *, url_col: str = "url", outcome_col: str = "outcome", quantile: float = 0.05) -> DataFrame:
+    """One row per host: pages, n (labelled), k (good outcomes), the posterior's mean and standard deviation, bound,
+    its low quantile, and root, the rate of all pages.
 
     outcome is 1, 0 or null (unlabelled). Hosts without labels take their parent's prior. A
-    level on which no member has siblings takes the strength of the level above. An empty table gives none.
+    level on which no member has siblings takes the strength of the level above. Repeated rows count as often as they
+    occur; other columns are not read. An empty table gives none.
     """
     host, _ = url_parts(F.col(url_col))
     seen = pages.select(host.alias("host"), F.col(outcome_col).cast("long").alias("y"))
-    hosts = staged(seen.groupBy("host").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k")), "hosts")
+    hosts = staged(seen.groupBy("host").agg(F.count("*").alias("pages"), F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("k")), "hosts")
     domain, suffix = site_levels(F.col("host"))
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    sums = [F.count("*").alias("members"), F.sum("n").alias("n"), F.sum("k").alias("k")]
+    domains = hosts.groupBy("domain", "suffix").agg(*sums)
+    suffixes = domains.groupBy("suffix").agg(*sums)
     total = suffixes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     root = (total["k"] + 1) / (total["n"] + 2)
 
-    def strength(level: DataFrame, parents: DataFrame, on: list[str], rate: str, unknown: float) -> float:
-        """Prior observations of a level by moments of its members' rates around their parent's.
-
-        n times a member's squared distance from its parent's rate has mean q (1 + (n - 1) / (s + 1)) (1 - n / N), q
-        being the variance of one page and N the parent's pages. A member without siblings says nothing.
-        """
-        parents = parents.select(*on, F.col("n").alias("pn"), F.col("k").alias("pk"), (F.col(rate) * (1 - F.col(rate))).alias("q"))
-        rows = level.filter("n > 0").select("n", "k", *on)
-        rows = rows.join(parents, on) if on else rows.crossJoin(parents)
-        apart = F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("pk") / F.col("pn"), 2)
-        free = F.col("q") * (1 - F.col("n") / F.col("pn"))
-        s = rows.agg(F.sum(apart).alias("v"), F.sum(free).alias("noise"), F.sum(free * (F.col("n") - 1)).alias("w")).first()
-        if not s["w"]:
-            return unknown
-        share = (s["v"] - s["noise"]) / s["w"]
-        return max_strength if share <= 0 else min(max_strength, max(2.0, 1 / share - 1))
-
-    def shrink(level: DataFrame, prior: Column, weight: float, name: str) -> DataFrame:
-        return level.withColumn(name, (F.col("k") + prior * weight) / (F.col("n") + weight))
-
-    everything = pages.sparkSession.createDataFrame([(int(total["n"]), int(total["k"]), float(root))], "n long, k long, rate double")
-    s1 = strength(suffixes, everything, [], "rate", 2.0)
-    suffix_rates = shrink(suffixes, F.lit(root), s1, "suffix_rate")
-    s2 = strength(domains, suffix_rates, ["suffix"], "suffix_rate", s1)
-    domain_rates = shrink(domains.join(suffix_rates.select("suffix", "suffix_rate"), "suffix"), F.col("suffix_rate"), s2, "domain_rate")
-    s3 = strength(hosts, domain_rates, ["domain", "suffix"], "domain_rate", s2)
-    by_domain = domain_rates.select("domain", "suffix", "domain_rate")
-    a = F.col("k") + F.col("domain_rate") * s3
-    b = F.col("n") - F.col("k") + (1 - F.col("domain_rate")) * s3
-    mean = a / (a + b)
-    return hosts.join(by_domain, ["domain", "suffix"]).select("host", "n", "k", mean.alias("mean"), F.sqrt(mean * (1 - mean) / (a + b + 1)).alias("sd"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", outcome_col: str = "outcome", limit: float = 0.5, z: float = 1.645) -> DataFrame:
+    def under(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+        """level with its parents' counts, rate and size."""
+        parents = parents.select(key, "members", F.col("n").alias("pn"), F.col("k").alias("pk"), F.col("rate").alias("prate"), F.col("size").alias("psize"))
+        return join_named(level, parents, key, "members")
+
+    top = suffixes.withColumns({"pn": F.lit(total["n"]), "pk": F.lit(total["k"]), "prate": F.lit(root), "psize": F.lit(total["n"] + 2.0)})
+    s1 = _strength(top, 2.0)
+    middle = under(domains, _shrunk(top, s1), "suffix")
+    s2 = _strength(middle, s1)
+    low = under(hosts, _shrunk(middle, s2).drop("suffix"), "domain")
+    s3 = _strength(low, s2)
+    rates = _shrunk(low, s3)
+    a = F.greatest(F.col("rate") * F.col("size"), F.lit(1e-3))
+    b = F.greatest((1 - F.col("rate")) * F.col("size"), F.lit(1e-3))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = beta_quantile(batch.column("a").to_numpy(), batch.column("b").to_numpy(), quantile) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(found, pa.float64())], names=["host", "pages", "n", "k", "mean", "sd", "bound"])
+
+    rows = rates.select("host", "pages", "n", "k", F.col("rate").alias("mean"), F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("size") + 1)).alias("sd"), a.alias("a"), b.alias("b"))
+    return batched(rows, run, "host string, pages long, n long, k long, mean double, sd double, bound double").withColumn("root", F.lit(float(root)))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], rates: DataFrame | None = None, *, id_col: str = "page_id", url_col: str = "url", outcome_col: str = "outcome", share: float = 0.92) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, bound.
 
     A rule fits its host and all subdomains where the path starts with the rule's; the longest decides. Other pages
-    pass if mean - z * sd of their host's posterior is at least limit. Null urls and urls without '://' have empty
-    host and path and share the reputation of the empty host. Repeated rows give repeated results.
+    pass if the low quantile of their host's posterior, bound, is at least the given share of the rate of all pages. rates is
+    what reputation() says of the hosts of these pages; without it, pages has the outcomes. Null urls and urls without
+    '://' have empty host and path and share the reputation of the empty host. Repeated rows give repeated results, an
+    empty table none; other columns are not read.
     """
-    rates = reputation(pages, url_col=url_col, outcome_col=outcome_col)
+    rates = staged(reputation(pages, url_col=url_col, outcome_col=outcome_col) if rates is None else rates, "rates")
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    bound = F.col("mean") - z * F.col("sd")
     hit = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("hit", hit).join(rates.select("host", bound.alias("bound")), "host", "left")
-    return rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.when(F.col("bound") >= limit, "allow").otherwise("block")).alias("verdict"), "bound")
+    rows = join_named(rows.withColumn("hit", hit), rates.select("host", "pages", "bound", "root"), "host", "pages")
+    learned = F.when(F.col("bound") >= share * F.col("root"), "allow").otherwise("block")
+    return rows.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", learned).alias("verdict"), "bound")
