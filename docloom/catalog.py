@@ -43,7 +43,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.segment(corpus(spark, sf_dir), repair=False).drop("text")
+    return segment.segment(corpus(spark, sf_dir)).drop("text")
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,13 @@ def preset_compare(spark, sf_dir):
     return overall_by_role(spark, sf_dir).join(F.broadcast(presets), "role").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("overall"), 4).alias("mean_overall"))
 
 
-@query()
+@query(o.CARVE)
+def summary_carve(spark, sf_dir):
+    """Header and summary after summary lines of the header have moved."""
+    return segment.carve_summary(sections(spark, sf_dir)).select("doc_id", "header", "summary")
+
+
+@query(o.FULL)
 def full_score(spark, sf_dir):
     return scoring.score_documents(corpus(spark, sf_dir)).select("doc_id", "overall", "grade", "role", "role_confidence")
 

@@ -56,6 +56,17 @@ PII = {
 # Patterns of the section scores.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(\+?\d[\d\s().-]{7,}\d)"
+URL = r"(https?://|www\.)\S+|linkedin\.com/\S+|github\.com/\S+"
+#: Lines that open a summary inside a header: a job title with a tail after a colon or dash, and years of experience.
+TITLE_LINE = (
+    r"^(?:(?:senior|junior|lead|principal|staff|chief)?\s*"
+    r"(?:software|full[\s-]?stack|back[\s-]?end|front[\s-]?end|data|machine[\s-]?learning|ml|devops|cloud|site[\s-]?reliability|"
+    r"product|project|engineering|qa|test|sdet|security|android|ios|mobile|web|platform|infrastructure|security|network|"
+    r"data\s+science|data\s+analyst|data\s+engineer|ux|ui|ux/ui|graphic|technical|it|systems?)\s*"
+    r"(?:developer|engineer|scientist|analyst|designer|architect|manager|consultant|specialist|lead|administrator|programmer|"
+    r"researcher|officer|associate|intern|coordinator))\s*[:\-]\s*\S.*$"
+)
+YEARS_LINE = r"\b(\d+\s*\+?\s*(?:years?|yrs?)|\d+\s*tahun)\b"
 METRIC = r"(\d+(\.\d+)?\s*%|\$\s*\d|\d+\s*(users|customers|requests|qps|rps|ms|s|x)|team\s+of\s+\d+|over\s+\d+|\d+\s*(years|yrs|months))"
 UNPROFESSIONAL = r"(hotmama|sexy|prince|love|player)\d*@"
 YEARS = r"\b(\d+)\+?\s*(years?|yrs?|tahun)\b"

@@ -13,10 +13,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = docs.withColumn("pii", F.array().cast("array<struct<key:string,value:string>>")).withColumn("_r", F.coalesce(F.col(text_col), F.lit("")))
     for label, pattern in lx.PII.items():
         p = "(?i)" + pattern
-        df = df.withColumns({"_parts": F.split("_r", p, -1), "_hits": F.regexp_extract_all("_r", F.lit(p), F.lit(0))})
+        df = df.withColumn("_any", F.col("_r").rlike(p))
+        df = df.withColumns({"_parts": F.when(F.col("_any"), F.split("_r", p, -1)), "_hits": F.when(F.col("_any"), F.regexp_extract_all("_r", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>"))})
         key = lambda i, label=label: F.concat(F.lit(f"[{label}_"), (i + 1).cast("string"), F.lit("]"))
         joined = F.array_join(F.transform("_parts", _with_key(key)), "")
-        df = df.withColumns({"pii": F.concat("pii", F.transform("_hits", _entry(key))), "_r": F.when(F.size("_hits") > 0, joined).otherwise(F.col("_r"))}).drop("_parts", "_hits")
+        df = df.withColumns({"pii": F.concat("pii", F.transform("_hits", _entry(key))), "_r": F.when(F.size("_hits") > 0, joined).otherwise(F.col("_r"))}).drop("_parts", "_hits", "_any")
     return df.withColumn(text_col, F.col("_r")).drop("_r")
 
 

@@ -36,7 +36,7 @@ def statements(text: Column) -> tuple[Column, Column]:
 
 
 def is_strong(statement: Column) -> Column:
-    return F.array_contains(tx.one_of(lx.STRONG_VERBS), F.regexp_replace(F.regexp_extract(F.lower(statement), r"^\S+", 0), r"[.,;:]+$", ""))
+    return F.regexp_replace(F.regexp_extract(F.lower(statement), r"^\S+", 0), r"[.,;:]+$", "").isin(*lx.STRONG_VERBS)
 
 
 def is_weak(statement: Column) -> Column:
@@ -71,7 +71,7 @@ projects = _acts([(0.25, 4.0), (0.5, 6.0)], [(0.2, 1.0), (0.4, 2.0)], 10.0)
 def skills(text: Column, canonical: Column) -> Column:
     listed = F.filter(sg.skill_tokens(text), lambda t: F.length(t) <= 40)
     n, known = F.size(listed), F.size(canonical)
-    vague = tx.ratio(F.size(F.filter(listed, lambda t: F.array_contains(tx.one_of(lx.VAGUE), F.lower(t)))), n)
+    vague = tx.ratio(F.size(F.filter(listed, lambda t: F.lower(t).isin(*lx.VAGUE))), n)
     base = F.when(known < 3, 3.0).when(known < 8, 6.0).otherwise(8.0)
     base = F.when(vague >= 0.5, F.greatest(F.lit(0.0), base - 2)).when(vague >= 0.25, F.greatest(F.lit(0.0), base - 1)).otherwise(base)
     return F.when(tx.blank(text), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(10.0), base + tx.has(text, lx.SKILL_GROUP).cast("double")))
@@ -114,7 +114,7 @@ def detect_role(df: DataFrame, text_col: str, *, threshold: int = 3, margin: int
 
 def language(text: Column, signals: tuple[str, ...] = lx.INDONESIAN, least: float = 0.08, code: str = "id") -> Column:
     found = F.slice(tx.words(F.lower(text)), 1, 2000)
-    hits = F.size(F.filter(found, lambda w: F.array_contains(tx.one_of(signals), w)))
+    hits = F.size(F.filter(found, lambda w: w.isin(*signals)))
     return F.when(tx.ratio(hits, F.size(found)) >= least, code).otherwise("en")
 
 
@@ -170,7 +170,7 @@ def combine(scored: DataFrame, role: Column) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, *, role: str | None = None, redacted: bool = True) -> DataFrame:
-    """Full scoring: segment, replace personal data, segment again, detect the role, score, weigh and grade."""
+    """Full scoring: segment, replace personal data, segment again, detect the role, carve a summary, score, weigh and grade."""
     if role is not None and role not in lx.RUBRICS:
         raise ValueError(f"unknown role {role!r}; one of {sorted(lx.RUBRICS)}")
     df = segment_redacted(docs) if redacted else sg.segment(docs)
@@ -178,7 +178,7 @@ def score_documents(docs: DataFrame, *, role: str | None = None, redacted: bool
     df = detect_role(df.withColumn("_corpus", corpus), "_corpus").drop("_corpus")
     if role is not None:
         df = df.withColumns({"role": F.lit(role), "role_confidence": F.lit(1.0)})
-    return combine(score_sections(df), F.col("role"))
+    return combine(score_sections(sg.carve_summary(df)), F.col("role"))
 
 
 def segment_redacted(docs: DataFrame) -> DataFrame:

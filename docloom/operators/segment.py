@@ -9,17 +9,26 @@ from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
 
 SPARSE_SUMMARY = 100
+#: How a bullet and a month begin.
 _BULLET = r"^\s*[•●▪\-\*]\s"
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)(?:[a-z]+)?"
 
 
+#: What any heading looks like; most lines fail it at their first character.
+ANY_HEADING = "|".join(f"(?:{pattern})" for _, pattern in lx.HEADINGS)
+
+
 def heading(line: Column) -> Column:
     """The section that a line opens, else null."""
-    low = F.trim(F.lower(line))
+    return _opens(F.trim(F.lower(line)))
+
+
+def _opens(low: Column) -> Column:
+    """heading() of a line that is trimmed and lower-cased; a plain column, as each pattern reads it."""
     chain = None
     for section, pattern in lx.HEADINGS:
         chain = F.when(low.rlike(pattern), section) if chain is None else chain.when(low.rlike(pattern), section)
-    return chain
+    return F.when(low.rlike(ANY_HEADING), chain)
 
 
 def date_range(strict_compat: bool = True) -> str:
@@ -39,8 +48,10 @@ def prose_line(line: Column, strict_compat: bool = True) -> Column:
 
 def skill_set(text: Column) -> Column:
     """Distinct canonical skills of a text."""
-    lookup = F.create_map(*(F.lit(x) for pair in sorted(lx.skill_lookup().items()) for x in pair))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(skill_tokens(text), lambda t: lookup[F.lower(clean_skill(t))]), lambda s: s.isNotNull())))
+    known = lx.skill_lookup()
+    lookup = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    listed = F.filter(F.transform(skill_tokens(text), lambda t: F.lower(clean_skill(t))), lambda t: t.isin(*sorted(known)))
+    return F.array_sort(F.array_distinct(F.transform(listed, lambda t: lookup[t])))
 
 
 def skill_tokens(text: Column) -> Column:
@@ -57,8 +68,8 @@ def clean_skill(token: Column) -> Column:
 
 def _skills_block(lines: Column) -> Column:
     body = F.array_join(lines, " ")
-    listed = F.split(body, ",")
-    return ((F.size(listed) >= 5) & (F.size(F.filter(listed, lambda t: F.length(tx.strip(t)) < 20)) >= 4)) | (F.size(skill_set(body)) >= 3)
+    listed = F.filter(F.transform(F.split(body, ","), tx.strip), lambda t: t != "")
+    return ((F.size(listed) >= 5) & (F.size(F.filter(listed, lambda t: F.length(t) < 20)) >= 4)) | (F.size(skill_set(body)) >= 3)
 
 
 def _longest_run(lines: Column, flags: Column) -> Column:
@@ -81,7 +92,7 @@ def segment(docs: DataFrame, text_col: str = "text", *, repair: bool = True, str
     empty skills section.
     """
     df = docs.withColumn("_lines", tx.lines(F.coalesce(F.col(text_col), F.lit(""))))
-    df = df.withColumn("_heads", F.transform("_lines", heading))
+    df = df.withColumn("_heads", F.transform(F.transform("_lines", lambda x: F.trim(F.lower(x))), _opens))
     df = df.withColumn("_at", F.filter(F.transform("_heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull()))
     n, at = F.size("_lines"), F.col("_at")
     first = F.struct(F.lit("Header").alias("s"), F.lit(0).alias("a"), F.coalesce(F.get(at, F.lit(0)), n).alias("b"))
@@ -91,10 +102,11 @@ def segment(docs: DataFrame, text_col: str = "text", *, repair: bool = True, str
     df = df.withColumns({f"_s_{s}": body(s) for s in lx.SECTIONS})
     if repair:
         donors = ("Education", "Experience", "Other")
-        df = df.withColumns({f"_f_{s}": F.transform(f"_s_{s}", lambda x: prose_line(x, strict_compat)) for s in donors})
-        df = df.withColumns({f"_r_{s}": _longest_run(F.col(f"_s_{s}"), F.col(f"_f_{s}")) for s in donors})
         total = F.aggregate(F.transform("_s_Summary", lambda x: F.length(tx.strip(x))), F.lit(0), lambda a, x: a + x)
-        giver = F.when(total < SPARSE_SUMMARY, F.coalesce(*(F.when(F.col(f"_r_{s}.n") >= 2, s) for s in donors)))
+        df = df.withColumn("_sparse", total < SPARSE_SUMMARY)
+        df = df.withColumns({f"_f_{s}": F.when(F.col("_sparse"), F.transform(f"_s_{s}", lambda x: prose_line(x, strict_compat))) for s in donors})
+        df = df.withColumns({f"_r_{s}": _longest_run(F.col(f"_s_{s}"), F.col(f"_f_{s}")) for s in donors})
+        giver = F.when(F.col("_sparse"), F.coalesce(*(F.when(F.col(f"_r_{s}.n") >= 2, s) for s in donors)))
         df = df.withColumn("_giver", giver)
         moved = F.coalesce(*(F.when(F.col("_giver") == s, F.slice(f"_s_{s}", F.col(f"_r_{s}.start") + 1, F.col(f"_r_{s}.n"))) for s in donors), F.array().cast("array<string>"))
         left = {f"_s_{s}": F.when(F.col("_giver").eqNullSafe(F.lit(s)), F.concat(F.slice(f"_s_{s}", 1, F.col(f"_r_{s}.start")), F.slice(f"_s_{s}", F.col(f"_r_{s}.start") + F.col(f"_r_{s}.n") + 1, 1_000_000))).otherwise(F.col(f"_s_{s}")) for s in donors}
@@ -107,6 +119,33 @@ def segment(docs: DataFrame, text_col: str = "text", *, repair: bool = True, str
     return df.drop(*[c for c in df.columns if c.startswith("_") and c not in docs.columns])
 
 
+def summary_line(line: Column) -> Column:
+    """Whether a stripped header line belongs to a summary: no contact, and prose, a job title with a tail, or years of experience."""
+    n = tx.word_count(line)
+    contact = line.rlike(lx.EMAIL) | line.rlike(lx.PHONE) | tx.has(line, lx.URL)
+    headline = (n >= 3) & (tx.has(line, lx.TITLE_LINE) | (tx.has(line, lx.YEARS_LINE) & (n <= 12)))
+    return (F.length(line) > 2) & ~contact & (headline | (n >= 8))
+
+
+def carve_summary(segmented: DataFrame) -> DataFrame:
+    """Moves the first run of summary lines from the header to a summary that is missing; other documents stay as they are.
+
+    Null headers and headers without such a line give nothing. What stays in the header is stripped.
+    """
+    blank = tx.blank(F.coalesce("summary", F.lit("")))
+    df = segmented.withColumn("_lines", F.when(blank, tx.lines(F.coalesce("header", F.lit("")))))
+    df = df.withColumn("_in", F.transform("_lines", lambda x: summary_line(tx.strip(x))))
+    df = df.withColumn("_at", F.array_position("_in", True).cast("int"))
+    df = df.withColumn("_stop", F.when(F.col("_at") > 0, F.array_position(F.slice("_in", F.col("_at"), F.size("_in")), False).cast("int")))
+    n = F.when(F.col("_stop") > 0, F.col("_stop") - 1).otherwise(F.size("_in") - F.col("_at") + 1)
+    df = df.withColumn("_n", n)
+    kept = F.concat(F.slice("_lines", 1, F.col("_at") - 1), F.slice("_lines", F.col("_at") + F.col("_n"), F.size("_lines")))
+    moved = F.transform(F.slice("_lines", F.col("_at"), F.col("_n")), tx.strip)
+    found = F.coalesce(F.col("_at") > 0, F.lit(False))
+    out = {"summary": F.when(found, F.array_join(moved, "\n")).otherwise(F.col("summary")), "header": F.when(found, tx.strip(F.array_join(kept, "\n"))).otherwise(F.col("header"))}
+    return df.withColumns(out).drop("_lines", "_in", "_at", "_stop", "_n")
+
+
 def section_rows(segmented: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Long form: doc_id, section, ord, text of the sections that have lines."""
     parts = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(i).alias("ord"), F.col(s.lower()).alias("text")) for i, s in enumerate(lx.SECTIONS)))

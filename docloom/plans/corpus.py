@@ -27,16 +27,17 @@ select k as doc_id, c_name || chr(10)
  || case when k % 4 = 0 then ' | linkedin.com/in/u' || cast(k as string) else '' end || case when k % 9 = 0 then ' | github.com/u' || cast(k as string) else '' end || chr(10)
  || case when k % 13 = 0 then 'Jl. Sudirman ' || cast(k % 90 as string) || ', Jakarta' || chr(10) else '' end
  || case when k % 17 = 0 then 'DOB: 12/05/' || cast(1970 + k % 30 as string) || chr(10) else '' end
- || case k % 6 when 0 then 'Summary' when 1 then 'Ringkasan' when 2 then 'Profile' when 3 then 'ABOUT ME' else 'Professional Summary' end || chr(10)
+ || case when k % 31 = 0 then '' else case k % 6 when 0 then 'Summary' when 1 then 'Ringkasan' when 2 then 'Profile' when 3 then 'ABOUT ME' else 'Professional Summary' end || chr(10) end
  || {_pick(_TITLES, 'k')} || case when k % 7 <> 0 then ' with ' || cast(k % 15 + 1 as string) || ' years of experience' else '' end || ' who builds reliable services for large teams'
- || repeat(' and keeps systems running for customers in many regions', cast(k % 15 as int)) || '.' || chr(10)
+ || repeat(' and keeps systems running for customers in many regions', cast(case when k % 29 = 0 then 0 else k % 15 end as int)) || '.' || chr(10)
  || case when k % 2 = 0 then 'Work Experience' else 'Pengalaman Kerja' end || chr(10)
  || {' || '.join(_statement(i) for i in range(1, 7))} || chr(10)
  || repeat('We met every week to plan the next steps together with partners. ', cast(k % 40 as int)) || chr(10)
- || 'Skills' || chr(10) || {" || ".join(f"case when {i} <= 3 + k % 9 then {_pick(_SKILLS, f'k * 5 + {i} * 7')} || ', ' else '' end" for i in range(1, 12))} || 'SQL' || chr(10)
+ || case when k % 19 = 0 then '' when k % 23 = 0 then 'Skills' || chr(10) || 'Education' || chr(10) else 'Skills' || chr(10) end || {" || ".join(f"case when {i} <= 3 + k % 9 then {_pick(_SKILLS, f'k * 5 + {i} * 7')} || ', ' else '' end" for i in range(1, 12))} || 'SQL' || chr(10)
  || case when k % 4 = 1 then 'Projects' || chr(10) || '- Built a chat bot used by ' || cast(k as string) || ' users' || chr(10) || '- Wrote notes about the design' || chr(10) else '' end
  || 'Education' || chr(10) || case k % 3 when 0 then 'Bachelor of Computer Science' when 1 then 'Sarjana Teknik' else 'High school' end
- || case when k % 2 = 0 then ', Institut Teknologi Bandung' else '' end || case when k % 5 <> 0 then ', ' || cast(2005 + k % 15 as string) else '' end as text
+ || case when k % 2 = 0 then ', Institut Teknologi Bandung' else '' end || case when k % 5 <> 0 then ', ' || cast(2005 + k % 15 as string) else '' end
+ || case when k % 29 = 0 then chr(10) || 'Engineer who has built and run large payment systems for many banks' || chr(10) || 'and who now wants to lead a small team that cares about quality' else '' end as text
 from (select c_custkey as k, c_name from customer) c
 """
 

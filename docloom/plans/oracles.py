@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions import lexicon as lx
+from docloom.operators.segment import date_range
 from docloom.plans.corpus import CORPUS, JDS
 
 
@@ -17,12 +18,44 @@ def terms(values) -> str:
 HEAD = "case " + " ".join(f"when regexp_matches(trim(lower(line)), {q(p)}) then {q(s)}" for s, p in lx.HEADINGS) + " end"
 PIVOT = ", ".join(f"max(case when section = {q(s)} then text end) as {s.lower()}" for s in lx.SECTIONS)
 
-SECTIONS = rf"""
-with corpus as ({CORPUS}),
-ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from corpus),
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+_LOOKUP = "(values " + ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(lx.skill_lookup().items())) + ") as lk(key, skill)"
+_PROSE = rf"length(s) >= 30 and not regexp_matches(s, '^\s*[•●▪\-\*]\s') and not regexp_matches(s, {q(date_range())}, 'i') and not (len(string_split(s, ',')) >= 4 and len(list_filter(string_split(s, ',')[2:], lambda t: length({strip('t')}) >= 18)) = 0)"
+
+
+def canonical(rows: str, keys: str) -> str:
+    """CTEs from rows (keys, body) to k9 (keys, skill): the skills of a body, each once."""
+    return rf"""k1 as (select {keys}, unnest(regexp_split_to_array(body, '[,;|\n•·]+')) as raw from {rows}),
+k2 as (select {keys}, list_last(string_split({strip('raw')}, ': ')) as c from k1 where {strip('raw')} <> ''),
+k3 as (select {keys}, regexp_replace(regexp_replace(regexp_replace(c, '\s+[-–—]\s+\S.*$', ''), '\s+\(.*\)$', ''), '\s+/\s+\S.*$', '') as c from k2),
+k9 as (select distinct {keys}, skill from k3 join {_LOOKUP} on lower(trim(c, ' .;:()[]"''')) = key)"""
+
+
+def segmented(source: str) -> str:
+    """CTEs from a source of doc_id and text to sx (doc_id, section, text), both repairs included."""
+    listed = f"list_filter(list_transform(string_split(body, ','), lambda t: {strip('t')}), lambda t: t <> '')"
+    return rf"""ln as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from {source}),
 cl as (select *, {HEAD} as h from ln),
 ff as (select *, coalesce(last_value(h ignore nulls) over (partition by doc_id order by pos rows unbounded preceding), 'Header') as section from cl),
-sx as (select doc_id, section, regexp_replace(string_agg(line, chr(10) order by pos), '^\s+|\s+$', '', 'g') as text from ff where h is null group by doc_id, section),
+u0 as (select doc_id, section, line, {strip('line')} as s, row_number() over (partition by doc_id, section order by pos) as i from ff where h is null),
+tt as (select doc_id, sum(length(s)) as total from u0 where section = 'Summary' group by doc_id),
+is0 as (select doc_id, section, i, i - row_number() over (partition by doc_id, section order by i) as g from u0 where section in ('Education', 'Experience', 'Other') and {_PROSE}),
+is1 as (select doc_id, section, min(i) as a, count(*) as n from is0 group by doc_id, section, g),
+is2 as (select * from is1 qualify row_number() over (partition by doc_id, section order by n desc, a) = 1),
+gv as (select is2.* from is2 left join tt using (doc_id) where n >= 2 and coalesce(total, 0) < 100 qualify row_number() over (partition by doc_id order by case section when 'Education' then 0 when 'Experience' then 1 else 2 end) = 1),
+u1 as (select u0.doc_id, case when gv.doc_id is null then u0.section else 'Summary' end as section, gv.doc_id is not null as late, i, line from u0 left join gv on gv.doc_id = u0.doc_id and gv.section = u0.section and i between gv.a and gv.a + gv.n - 1),
+sb as (select doc_id, section, string_agg(line, ' ' order by i) as body from u1 where section in ('Experience', 'Education', 'Other') and doc_id not in (select doc_id from u1 where section = 'Skills') group by doc_id, section),
+{canonical('sb', 'doc_id, section')},
+g2 as (select doc_id, section from sb left join (select doc_id, section, count(*) as k from k9 group by doc_id, section) kc using (doc_id, section) where (len({listed}) >= 5 and len(list_filter({listed}, lambda t: length(t) < 20)) >= 4) or coalesce(k, 0) >= 3 qualify row_number() over (partition by doc_id order by case section when 'Experience' then 0 when 'Education' then 1 else 2 end) = 1),
+u2 as (select u1.doc_id, case when g2.doc_id is null then u1.section else 'Skills' end as section, late, i, line from u1 left join g2 on g2.doc_id = u1.doc_id and g2.section = u1.section),
+sx as (select doc_id, section, {strip('string_agg(line, chr(10) order by late, i)')} as text from u2 group by doc_id, section)"""
+
+
+SECTIONS = f"""
+with corpus as ({CORPUS}), {segmented('corpus')},
 sec as (select doc_id, {PIVOT} from sx group by doc_id)
 """
 
@@ -66,7 +99,6 @@ BANDS = "case when n < 200 then 3.0 when n < 400 then 7.0 when n <= 900 then 9.0
 LENGTH = f"{SECTIONS}, x as (select doc_id, {count(ALL_TEXT)}::bigint as n from sec) select doc_id, n as n_words, {BANDS} as score from x"
 LENGTH_DOCS = f"with x as (select doc_id, {count('text')}::bigint as n from documents) select doc_id, n as n_words, {BANDS} as score from x"
 
-_LOOKUP = "(values " + ", ".join(f"({q(k)}, {q(v)})" for k, v in sorted(lx.skill_lookup().items())) + ") as lk(key, skill)"
 _CATEGORY = "(values " + ", ".join(f"({q(s)}, {q(c)})" for c, ss in lx.SKILLS.items() for s in ss) + ") as ct(skill, category)"
 SKILL_ROWS = rf"""{SECTIONS}, tk as (select doc_id, unnest(regexp_split_to_array(coalesce(skills, ''), '[,;|\n•·]+')) as raw from sec),
 t1 as (select doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') as tok from tk),
@@ -75,7 +107,7 @@ t3 as (select doc_id, regexp_replace(regexp_replace(regexp_replace(c, '\s+[-–
 t4 as (select doc_id, trim(c, ' .;:()[]"''') as c from t3),
 sk as (select distinct doc_id, skill from t4 join {_LOOKUP} on lower(c) = key)
 """
-SKILL_EXTRACT = f"{SKILL_ROWS} select doc_id, count(*)::bigint as n_skills, string_agg(skill, ',' order by skill) as skills from sk group by doc_id"
+SKILL_EXTRACT = f"{SKILL_ROWS} select sec.doc_id, count(skill)::bigint as n_skills, coalesce(string_agg(skill, ',' order by skill), '') as skills from sec left join sk using (doc_id) group by sec.doc_id"
 CATEGORY_HIST = f"{SKILL_ROWS} select category, count(*)::bigint as n_documents_skills, count(distinct doc_id)::bigint as n_documents from sk join {_CATEGORY} using (skill) group by category"
 SKILLS = rf"""{SKILL_ROWS}, kn as (select doc_id, count(*) as k from sk group by doc_id),
 ls as (select doc_id, count(*) as n, count(*) filter (where list_contains({terms(lx.VAGUE)}, lower(tok))) as v from t1 where tok <> '' and length(tok) <= 40 group by doc_id),
@@ -101,13 +133,18 @@ _RULES = "(values " + ", ".join(f"({q(r)}, {q(i)}, {q(c)}, {w}::double)" for r,
 WEIGHTS = f"select role, category as section, round(sum(weight) / max(t), 4) as weight from (select *, sum(weight) over (partition by role) as t from {_RULES}) group by role, category"
 
 
+#: For many parts over one segmentation: sec from a table that the whole statement shares.
+SHARED = "with sec as (select * from sec_all) "
+
+
 def _all_scores() -> str:
     parts = {"contact": CONTACT, "summary": SUMMARY, "experience": EXPERIENCE, "skills": SKILLS, "education": EDUCATION, "projects": PROJECTS, "length": LENGTH}
-    return ", ".join(f"s_{k} as ({sql})" for k, sql in parts.items())
+    return ", ".join(f"s_{k} as ({sql.replace(SECTIONS, SHARED)})" for k, sql in parts.items())
 
 
-SCORES = f"""with {_all_scores()}, joined as (select s_contact.doc_id, s_contact.score as contact, s_summary.score as summary, s_experience.score as experience, s_skills.score as skills, s_education.score as education, s_projects.score as projects, s_length.score as length
+SCORED = f"""{_all_scores()}, joined as (select s_contact.doc_id, s_contact.score as contact, s_summary.score as summary, s_experience.score as experience, s_skills.score as skills, s_education.score as education, s_projects.score as projects, s_length.score as length
 from s_contact join s_summary using (doc_id) join s_experience using (doc_id) join s_skills using (doc_id) join s_education using (doc_id) join s_projects using (doc_id) join s_length using (doc_id))"""
+SCORES = f"with sec_all as materialized ({SECTIONS} select * from sec), {SCORED}"
 GRADE = "case when m >= 9 then 'A — Excellent' when m >= 8 then 'B — Strong' when m >= 6.5 then 'C — Solid, improvable' when m >= 5 then 'D — Weak' else 'F — Needs rewrite' end"
 LONG = "select doc_id, unnest(['Contact','Summary','Experience','Skills','Education','Projects','Length_Formatting']) as section, unnest([contact, summary, experience, skills, education, projects, length]) as score from joined"
 OVERALL = f"{SCORES}, lg as ({LONG}), wt as ({WEIGHTS}), mm as (select doc_id, wt.role, round(sum(score * weight) / sum(weight), 9) as m from lg join wt using (section) group by doc_id, wt.role) select doc_id, role, round(m, 1) as overall, {GRADE} as grade from mm"
@@ -124,6 +161,43 @@ def redaction(source: str) -> str:
     return sql
 
 
+def carved(source: str) -> str:
+    """CTEs from a source of sections, one row a document, to sec with the summary lines of the header moved."""
+    contact = f"regexp_matches(s, {q(lx.EMAIL)}) or regexp_matches(s, {q(lx.PHONE)}) or regexp_matches(s, {q(lx.URL)}, 'i')"
+    headline = f"{count('s')} >= 3 and (regexp_matches(s, {q(lx.TITLE_LINE)}, 'i') or (regexp_matches(s, {q(lx.YEARS_LINE)}, 'i') and {count('s')} <= 12))"
+    return f"""hl as (select doc_id, unnest(string_split(header, chr(10))) as line, generate_subscripts(string_split(header, chr(10)), 1) as i from {source} where header is not null and {blank("coalesce(summary, '')")}),
+hs as (select *, {strip('line')} as s from hl),
+hm as (select *, length(s) > 2 and not ({contact}) and (({headline}) or {count('s')} >= 8) as m from hs),
+ha as (select doc_id, min(i) filter (where m) as a from hm group by doc_id having a is not null),
+he as (select doc_id, a, coalesce(min(i) filter (where not m and i > a), 1000000000) as e from ha join hm using (doc_id) group by doc_id, a),
+hc as (select doc_id, string_agg(s, chr(10) order by i) filter (where i >= a and i < e) as moved, {strip("coalesce(string_agg(line, chr(10) order by i) filter (where i < a or i >= e), '')")} as kept from hm join he using (doc_id) group by doc_id),
+sec as (select x.* replace (coalesce(hc.kept, header) as header, coalesce(hc.moved, summary) as summary) from {source} x left join hc using (doc_id))"""
+
+
+CARVE = f"{SECTIONS.replace('sec as (select', 'sc0 as (select')}, {carved('sc0')} select doc_id, header, summary from sec"
+
+
+def _redacted_sections() -> str:
+    """Statement up to sec: sections of the redacted text, a missing summary carved out, and raw_contact."""
+    joined = "concat_ws(chr(10), " + ", ".join(f"case when {s.lower()} is not null then {q(s)} || chr(10) || {s.lower()} end" for s in lx.SECTIONS) + ")"
+    first = f"{SECTIONS} select doc_id, {joined} as text, {RAW} as raw_contact from sec"
+    hidden = redaction("pass1")
+    return f"""with pass1 as materialized ({first}), red as materialized ({hidden} select doc_id, t as text from r5), {segmented('red')},
+sc0 as materialized (select sx.doc_id, {PIVOT}, any_value(raw_contact) as raw_contact from sx join (select doc_id, raw_contact from pass1) p using (doc_id) group by sx.doc_id),
+{carved('sc0')}"""
+
+
+def _full() -> str:
+    parts = SCORED.replace(CONTACT.replace(SECTIONS, SHARED), CONTACT.replace(SECTIONS, SHARED).replace(RAW, "raw_contact"))
+    said = "concat_ws(chr(10), " + ", ".join(f"case when not {blank(f'coalesce({s}, {q(str())})')} then {s} end" for s in ("skills", "summary", "header", "experience")) + ")"
+    return f"""{_redacted_sections()}, sec_all as materialized (select * from sec), {parts}, lg as ({LONG}), wt as ({WEIGHTS}), src as (select doc_id, {said} as t from sc0), {role_ctes('src')},
+mm as (select doc_id, rl.role, role_confidence, round(sum(score * weight) / sum(weight), 9) as m from lg join rl using (doc_id) join wt on wt.role = rl.role and wt.section = lg.section group by doc_id, rl.role, role_confidence)
+select doc_id, round(m, 1) as overall, {GRADE} as grade, role, role_confidence from mm"""
+
+
+FULL = _full()
+
+
 _N = ", ".join(f"len(list_filter(m, lambda y: starts_with(y, '[{label}_')))::bigint as n_{label.lower()}" for label in lx.PII)
 REDACT = redaction(f"({CORPUS})") + f" select doc_id, t as text, {_N}, array_to_string(m, chr(10)) as pii from r5"
 REDACT_DOCS = redaction("documents") + f" select doc_id, {_N} from r5"
