@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands.
 
-An island is a random share of the pieces, small enough for one task. Each epoch evolves every island's
-population: crossover injects whole well-filled bins of one parent into the other, drops the bins that then hold
+An island is a random share of the pieces, small enough for one task. Its first population is best fit in random
+orders. Each epoch evolves every island's population: crossover injects whole well-filled bins of one parent into the other, drops the bins that then hold
 duplicates, and best-fits the displaced pieces. Between epochs each island's elite bins migrate, as patterns of
 lengths, to the next island on a ring, which realises them with its own pieces. Afterwards every island opens its
 least-filled bins and hands their pieces to islands an eighth as many, until one is left, so that no waste per
@@ -30,6 +30,7 @@ class Packer:
         self.lengths, self.capacity, self.rng = lengths, capacity, random.Random(seed)
         self.population, self.generations = population, generations
         self.least = -(-sum(lengths) // capacity)
+        self.crossovers = 0
 
     def fill(self, items: Iterable[int]) -> int:
         return sum(map(self.lengths.__getitem__, items))
@@ -64,11 +65,9 @@ class Packer:
                 same.append(k)
         return bins
 
-    def decreasing(self, items: Iterable[int], blur: float = 0.0) -> list[int]:
-        """Longest first; with blur, neighbours in length swap at random."""
-        if not blur:
-            return sorted(items, key=self.lengths.__getitem__, reverse=True)
-        return sorted(items, key=lambda i: self.lengths[i] * (1 - blur * self.rng.random()), reverse=True)
+    def decreasing(self, items: Iterable[int]) -> list[int]:
+        """Longest first."""
+        return sorted(items, key=self.lengths.__getitem__, reverse=True)
 
     def fitness(self, bins: list[list[int]]) -> float:
         """Mean square fill: of two packings with as many bins, the one with fuller and emptier bins is better."""
@@ -101,29 +100,38 @@ class Packer:
                 bins.append([by_length[size].pop() for size in pattern])
         return self.best_fit(bins, self.decreasing(i for rest in by_length.values() for i in rest))
 
+    def newcomer(self) -> list[list[int]]:
+        """Best fit in a random order: a member of the first population."""
+        return self.best_fit([], self.rng.sample(range(len(self.lengths)), len(self.lengths)))
+
     def evolve(self, start: list[list[list[int]]]) -> list[list[int]]:
-        """The best packing found; ends early at the lower bound."""
-        everything = range(len(self.lengths))
-        people = [p for p in start if p] or [self.best_fit([], self.decreasing(everything))]
-        best = min(people, key=len)
-        while len(best) > self.least and len(people) < self.population:
-            people.append(self.best_fit([], self.decreasing(everything, 0.05 * len(people))))
-            best = min(best, people[-1], key=len)
-        for _ in range(self.generations if len(best) > self.least else 0):
-            one, other = self.rng.sample(people, 2)
-            people.append(self.crossover(one, other))
-            people.sort(key=lambda p: (len(p), -self.fitness(p)))
-            people = people[: self.population]
-            best = people[0]
-            if len(best) <= self.least:
-                break
-        return best
+        """The best packing found; ends early at the lower bound. crossovers counts the children made.
+
+        A population that misses the bound gets best fit decreasing as a member and goes on, so it never ends up worse.
+        """
+        people = [p for p in start if p]
+        while len(people) < self.population:
+            people.append(self.newcomer())
+        for late in (False, True):
+            if late and len(people[0]) > self.least:
+                people.append(self.best_fit([], self.decreasing(range(len(self.lengths)))))
+            people.sort(key=self.rank)
+            for _ in range(self.generations):
+                if len(people[0]) <= self.least:
+                    break
+                one, other = self.rng.sample(people, 2)
+                self.crossovers += 1
+                people = sorted([*people, self.crossover(one, other)], key=self.rank)[: self.population]
+        return people[0]
+
+    def rank(self, bins: list[list[int]]) -> tuple[int, float]:
+        return len(bins), -self.fitness(bins)
 
 
 STATE = "island long, doc_id long, piece int, length long, bin long, pattern array<int>"
 
 
-def _epoch(capacity: int, islands: int, elites: int, seed: int):
+def _epoch(capacity: int, islands: int, elites: int, seed: int, generations: int):
     """Evolves one island: rows of pieces (pattern null), and migrated patterns (piece null)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +141,7 @@ def _epoch(capacity: int, islands: int, elites: int, seed: int):
             return own
         island = int(own["island"].iloc[0])
         own = own.astype({"length": "int64"})
-        packer = Packer(own["length"].tolist(), capacity, seed * 7919 + island)
+        packer = Packer(own["length"].tolist(), capacity, seed * 7919 + island, generations=generations)
         start = []
         if own["bin"].notna().all():
             groups: dict[int, list[int]] = {}
@@ -141,14 +149,14 @@ def _epoch(capacity: int, islands: int, elites: int, seed: int):
                 groups.setdefault(b, []).append(i)
             start.append(list(groups.values()))
             patterns = sorted([[int(x) for x in p] for p in rows.loc[is_elite, "pattern"]])
-            if patterns and len(start[0]) > packer.least:
+            if patterns:
                 start.append(packer.realise(patterns))
         bins = packer.evolve(start)
         number = np.empty(len(own), dtype="int64")
         for k, b in enumerate(bins):
             number[b] = k
         own = own.assign(bin=number)
-        if not elites or islands < 2 or len(bins) <= packer.least:
+        if not elites or islands < 2:
             return own
         full = sorted({tuple(sorted(packer.lengths[i] for i in b)) for b in bins}, key=lambda p: (-sum(p), p))[:elites]
         more = pd.DataFrame({"island": (island + 1) % islands, "doc_id": None, "piece": None, "length": None, "bin": None, "pattern": [list(p) for p in full]})
@@ -174,7 +182,7 @@ def _close(capacity: int, last: bool):
     return run
 
 
-def pack(pieces: DataFrame, *, capacity: int = 4096, island_pieces: int = 8192, epochs: int = 2, elites: int = 64, seed: int = 7) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 4096, island_pieces: int = 8192, epochs: int = 2, generations: int = 40, elites: int = 64, seed: int = 7) -> DataFrame:
     """Pack rows (doc_id, piece, length) into sequences: adds sequence_id and offset, gapless from 0.
 
     Pieces as long as a sequence stand alone. Lengths are from 1 to capacity. Every row is placed exactly once,
@@ -190,7 +198,7 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, island_pieces: int = 8192,
         state = open_rows.select(F.pmod(F.xxhash64("doc_id", "piece", "length", F.lit(tier)), F.lit(islands)).cast("long").alias("island"), "doc_id", "piece", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("array<int>").alias("pattern"))
         for epoch in range(epochs if islands > 1 else 1):
             migrate = elites if epoch < epochs - 1 else 0
-            state = state.groupBy("island").applyInPandas(_epoch(capacity, islands, migrate, seed + 31 * tier + epoch), STATE)
+            state = state.groupBy("island").applyInPandas(_epoch(capacity, islands, migrate, seed + 31 * tier + epoch, generations), STATE)
         done = staged(state.filter(F.col("pattern").isNull()).groupBy("island").applyInPandas(_close(capacity, islands == 1), "island long, doc_id long, piece int, length long, bin long, offset long, opened boolean"), "packed")
         number = (F.lit(tier) * (1 << 58)).bitwiseOR(F.shiftleft("island", 20)).bitwiseOR(F.col("bin"))
         closed.append(done.filter(~F.col("opened")).select("doc_id", "piece", "length", number.alias("sequence_id"), "offset"))
@@ -204,8 +212,10 @@ def pack(pieces: DataFrame, *, capacity: int = 4096, island_pieces: int = 8192,
 
 
 def pack_documents(pieces: DataFrame, **options) -> DataFrame:
-    """Pack rows of token_pieces and carry their other columns along."""
-    pieces = staged(pieces, "pieces")
-    keyed = pieces.withColumn("_n", F.monotonically_increasing_id())
+    """Pack rows of token_pieces and carry their other columns along.
+
+    Rows are numbered as they are written, so every job sees the same numbers; ids may be null or repeat.
+    """
+    keyed = staged(pieces.withColumn("_n", F.monotonically_increasing_id()), "pieces")
     placed = pack(keyed.select(F.col("_n").alias("doc_id"), "piece", "length"), **options)
     return keyed.join(placed.select(F.col("doc_id").alias("_n"), "sequence_id", "offset"), "_n").drop("_n")
