@@ -5,8 +5,9 @@ compared: if one output extends the one before, the difference is the new turn's
 rewritten history and the conversation says so. Where the text lies inside a span is found by rendering the last
 turn with two other texts: what those outputs share at the start and end is the turn's frame.
 
-Long conversations are rendered in windows of turns, and the pieces are compared with full renderings at prefixes
-that double in length and at the end; if any of these differs, every prefix is rendered in full instead.
+Every prefix is rendered, however long a conversation is, as only that shows whether a template rewrites history:
+the work grows with the square of a conversation's turns, its memory with their text. The template here remembers what
+turns look like, so that a prefix costs it little more than the copying.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from docloom.llm.common import batched, text_of
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-#: Turns of a conversation up to which every prefix is rendered in full.
-WINDOW = 64
-
 _CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 _ROLE_CONTROL = re.compile(r"[\\:\n]|#(?=##)|<(?=/turn>)")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -43,9 +41,32 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+def _tagged_turn(turn: Turn) -> str:
+    role, text = turn
+    return f"### {_ROLE_CONTROL.sub(lambda m: chr(92) + m[0], role)}: {escape(text)}</turn>\n"
+
+
+class _Shown(dict):
+    """Turns as tagged() shows them, emptied when they hold this many characters."""
+
+    most, chars = 32_000_000, 0
+
+    def __missing__(self, turn: Turn) -> str:
+        shown = _tagged_turn(turn)
+        if self.chars + len(shown) > self.most:
+            self.clear()
+            self.chars = 0
+        self.chars += len(shown)
+        self[turn] = shown
+        return shown
+
+
+_shown = _Shown()
+
+
 def tagged(turns: list[Turn]) -> str:
     """The template of this module: '### Role: text</turn>' per turn, control strings inside texts escaped."""
-    return "".join(f"### {_ROLE_CONTROL.sub(lambda m: chr(92) + m[0], role)}: {escape(text)}</turn>\n" for role, text in turns)
+    return "".join(map(_shown.__getitem__, turns))
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -68,44 +89,25 @@ def _frame(template: Template, before: list[Turn], role: str) -> tuple[int, int]
     return head - len(template(before)), tail
 
 
-def _pieces(template: Template, turns: list[Turn], window: int) -> tuple[list[str], bool]:
-    """What each turn adds, and whether each prefix's output extended the one before."""
-    pieces, stable, previous = [], True, template([])
-    for k in range(len(turns)):
-        low = max(0, k + 1 - window)
-        if low:
-            previous = template(turns[low:k])
-        now = template(turns[low : k + 1])
-        extends = now.startswith(previous)
-        stable &= extends
-        pieces.append(now[len(previous) if extends else len(os.path.commonprefix([previous, now])) :])
-        previous = now
-    return pieces, stable
-
-
 def render(template: Template, turns: list[Turn], escaped: Callable[[str], str] = escape) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """(formatted text, spans, rewrites history). A span: turn from, to, its text from, to; code points, end exclusive.
 
-    Spans are empty lists where a template rewrites history, as no span would then be that turn's alone.
+    Spans are empty lists where a template rewrites history at any turn, as no span would then be that turn's alone.
     """
-    full = template(turns)
-    pieces, stable = _pieces(template, turns, WINDOW)
-    if len(turns) > WINDOW:
-        k, marks = WINDOW, []
-        while k < len(turns):
-            marks.append(k)
-            k *= 2
-        if not stable or any("".join(pieces[:k]) != template(turns[:k]) for k in [*marks, len(turns)]):
-            pieces, stable = _pieces(template, turns, len(turns))
-    if not stable or "".join(pieces) != full:
-        return full, [], True
-    spans, at, frames = [], 0, {}
+    pieces, full = [], template([])
+    for k in range(len(turns)):
+        now = template(turns[: k + 1])
+        if not now.startswith(full):
+            return template(turns), [], True
+        pieces.append(now[len(full) :])
+        full = now
+    spans, at, frames = [], len(full) - sum(map(len, pieces)), {}
     for k, ((role, text), piece) in enumerate(zip(turns, pieces, strict=True)):
         key = (role, k == 0)
         inner = escaped(text)
         for fresh in (False, True):
             if fresh or key not in frames:
-                frames[key] = _frame(template, turns[max(0, k - WINDOW) : k], role)
+                frames[key] = _frame(template, turns[:k], role)
             head, tail = frames[key]
             if piece[head : len(piece) - tail] == inner:
                 break
