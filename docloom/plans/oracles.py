@@ -227,7 +227,18 @@ def agreement(by: str) -> str:
 
 
 BLIND = f"with a as ({agreement('role')}) select role, n, delta, pearson, concat_ws('; ', case when abs(delta) > 1.5 then format('|Δ|={{:.2f}}>1.5', abs(delta)) end, case when pearson < 0.4 then format('Pearson={{:.2f}}<0.4', pearson) end) as flag from a where n >= 3 and (abs(delta) > 1.5 or pearson < 0.4)"
-BOOTSTRAP = f"with g as ({_SIGN}), e as (select abs(auto - human) as e, row_number() over (order by doc_id) - 1 as i from g), c as (select count(*) as n from g), d as (select b, ((b * 7919 + j * 104729 + 42) * 48271 % 2147483647) % n as i from c, range(1000) as bb(b), range((select n from c)) as jj(j)), m as (select b, avg(e) as m from d join e using (i) group by b), s as (select list_sort(list(m)) as ms from m) select n::bigint as n, round(ms[26], 6) as low, round(ms[976], 6) as high from s, c"
+def bootstrap(rows: str, by: str = "1") -> str:
+    """Statement over rows (doc_id, auto, human, g): n, low and high of each g."""
+    numbered = "select g, abs(auto - human) as e, row_number() over (partition by g order by md5(cast(doc_id as varchar)), doc_id) - 1 as i, count(*) over (partition by g) as n from bt"
+    drawn = "select g, b, n, cast('0x' || substr(md5('42:' || b || ':' || i), 1, 8) as bigint) % n as d from bn, range(1000) as bb(b)"
+    return f"""with bt as ({rows}), bn as ({numbered}), bd as ({drawn}), bm as (select bd.g, b, any_value(bd.n) as n, avg(e) as m from bd join bn on bn.g = bd.g and bn.i = d group by bd.g, b),
+bs as (select g, any_value(n) as n, list_sort(list(m)) as ms from bm group by g) select g, n::bigint as n, case when n >= 2 then round(ms[26], 6) end as low, case when n >= 2 then round(ms[976], 6) end as high from bs"""
+
+
+BOOTSTRAP = f"select n, low, high from ({bootstrap(f'select *, 1 as g from ({_SIGN})')})"
+_BY_SECTION = f"select *, case doc_id % 5 when 0 then 'Contact' when 1 then 'Summary' when 2 then 'Skills' when 3 then 'Education' else 'Experience' end as section from ({_SIGN})"
+SECTION_REPORT = f"""with a as ({agreement('section').replace(_SIGN, _BY_SECTION)}), c as ({bootstrap(f'select *, section as g from ({_BY_SECTION})')})
+select section, a.n, pearson, mae, low, high, coalesce(pearson < 0.5, false) as flagged from a join c on c.g = section where a.n >= 3"""
 VERDICT = f"with a as ({agreement('')}) select n, pearson, mae, case when n < 5 then 'insufficient' when pearson is null then 'undefined' when pearson < 0.5 then 'fail' when mae > 2.5 then 'warn' else 'pass' end as verdict from a"
 
 _LOG = "select event_id, case when event_id % 50 = 0 then '' else 'cv' || cast(event_id % 97 as varchar) end as cv_filename, event_type as section, (event_id * 13 % 110) / 10.0 as auto_score, (event_id * 29 % 103) / 10.0 as human_score from events"
@@ -235,11 +246,12 @@ _PROBLEM = "case when trim(cv_filename) = '' then 'cv_filename is required' when
 LOG_CHECK = f"with l as ({_LOG}) select event_id, {_PROBLEM} as error from l"
 LOG_SUMMARY = f"with l as ({_LOG}) select section, count(*)::bigint as n, round(avg(human_score - auto_score), 6) as mean_delta, round(min(human_score - auto_score), 6) as min_delta, round(max(human_score - auto_score), 6) as max_delta from l where {_PROBLEM} = '' group by section"
 
-_COS = "round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[]))), 4)"
+_RAW_COS = "list_dot_product(a.embedding::double[], b.embedding::double[]) / (sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])))"
+_COS = f"round({_RAW_COS}, 4)"
 
 
 def topk(on: str) -> str:
-    return f"select query_id, vec_id, score, rank from (select b.vec_id as query_id, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by {_COS} desc, a.vec_id)::bigint as rank from embeddings a join embeddings b on {on} where b.vec_id % 100 = 0) where rank <= 5"
+    return f"select query_id, vec_id, score, rank from (select b.vec_id as query_id, a.vec_id, {_COS} as score, row_number() over (partition by b.vec_id order by {_RAW_COS} desc, a.vec_id)::bigint as rank from embeddings a join embeddings b on {on} where b.vec_id % 100 = 0) where rank <= 5"
 
 
 BAND_ORDERS = "with x as (select o_orderkey, (o_orderkey % 101) / 10.0 as m from orders) select o_orderkey, " + GRADE + " as grade, case when m >= 8 then 'Strong' when m >= 6 then 'Solid' when m >= 4 then 'Needs work' else 'Weak' end as status from x"

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor sees")
         path = getattr(shared_dir, "_own", None) or tempfile.mkdtemp(prefix="docloom-")
         shared_dir._own = path
     return path
@@ -28,3 +31,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/docloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def blocks(df: DataFrame, key: str, most: int = 2000) -> list[DataFrame]:
+    """df cut by a hash of key into parts of about most rows, small enough to broadcast one by one; all of df is in one of them."""
+    n = max(1, -(-df.count() // most))
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == b) for b in range(n)]

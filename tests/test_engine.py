@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
-from docloom.operators import jobs, layout, redact, review_log, scoring, segment, stats
+from docloom.operators import jobs, layout, redact, retrieve, review_log, scoring, segment, stats
 
 
 def one(spark, value, f):
@@ -117,3 +117,34 @@ def test_reading_order(spark):
     rows = [("d", 1, 612.0, 40.0, 50.0, 100.0, "left one"), ("d", 1, 612.0, 330.0, 50.0, 400.0, "right one"), ("d", 1, 612.0, 40.0, 61.0, 100.0, "left two"), ("d", 1, 612.0, 110.0, 62.0, 150.0, "end"), ("d", 1, 612.0, 40.0, 70.0, 50.0, " ")]
     r = layout.reading_order(spark.createDataFrame(rows, "doc_id string, page_no int, width double, x0 double, y0 double, x1 double, text string")).first()
     assert (r["n_columns"], r["text"]) == (2, "left one\nleft two end\nright one")
+
+
+def test_bootstrap_covers_what_resampling_does(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(k, float(a), float(h)) for k, (a, h) in enumerate(zip(rng.uniform(0, 10, 250), rng.uniform(0, 10, 250), strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, auto double, human double")
+    got = stats.bootstrap_mae(df).first()
+    errors = np.array([abs(a - h) for _, a, h in rows])
+    means = np.sort(errors[rng.integers(0, 250, (4000, 250))].mean(axis=1))
+    assert abs(got["low"] - means[100]) < 0.08 and abs(got["high"] - means[3900]) < 0.08
+    pairs = spark.createDataFrame([(k, g, float(k), float(2 * k)) for g in "abc" for k in range("abc".index(g) * 2 + 1)], "doc_id long, section string, auto double, human double")
+    found = {r["section"]: (r["n"], r["low"], r["high"]) for r in stats.bootstrap_mae(pairs, ["section"], rounds=50).collect()}
+    assert found["a"] == (1, None, None) and found["b"][0] == 3 and found["b"][1] <= found["b"][2]
+    assert sorted(r["section"] for r in stats.section_report(pairs).collect()) == ["b", "c"]
+
+
+def test_nearest_by_raw_similarity(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0001], 0), (2, [1.0, 0.0], 0), (3, [0.0, 0.0], 0)], "vec_id long, embedding array<double>, label int")
+    queries = spark.createDataFrame([(9, [1.0, 0.0], 5)], "query_id long, query_vec array<double>, query_label int")
+    got = retrieve.top_k(queries, rows, 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2, 1, 3] and got[2]["score"] is None and got[1]["score"] == 1.0
+
+
+def test_rules_fall_back_to_all_roles(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [0.0, 1.0], 4)], "vec_id long, embedding array<double>, label int")
+    queries = spark.createDataFrame([(7, [1.0, 0.0], 3), (8, [1.0, 0.0], 9)], "query_id long, query_vec array<double>, query_label int")
+    got = sorted((r["query_id"], r["vec_id"]) for r in retrieve.rules_for(queries, rows, 5).collect())
+    assert got == [(7, 1), (8, 1), (8, 2)]
+    assert [r["name"] for r in retrieve.missing_names(spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "name string"), spark.createDataFrame([("c",)], "name string")).collect()] == ["a", "b"]
