@@ -28,30 +28,32 @@ def chat() -> str:
 select conv_id, n::bigint as n_turns, sha256(whole) as turns_sha256, length(said)::bigint as loss_chars, sha256(said) as loss_sha256, shown::bigint as formatted_chars, false as rewrites_history from c"""
 
 
-#: Kind: (pattern of the leftmost matches, condition on the match h at s, exclusive end e, of text t).
+#: Kind: (pattern of the leftmost matches, which of these are proposed, which of the proposed are accepted); h: the match, d: its digits.
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: case when i % 2 = 1 then substr(reverse(d), i, 1)::int when substr(reverse(d), i, 1)::int > 4 then substr(reverse(d), i, 1)::int * 2 - 9 else substr(reverse(d), i, 1)::int * 2 end)) % 10 = 0"
 _MOD97 = "list_reduce(list_transform(range(1, length(h) + 1), lambda i: ascii(substr(substr(h, 5) || substr(h, 1, 4), i, 1))::bigint), lambda a, c: case when c < 58 then (a * 10 + c - 48) % 97 else (a * 100 + c - 55) % 97 end, 0::bigint) = 1"
-_NEAR = f"regexp_matches(lower(substr(t, greatest(s - {pii.REACH} + 1, 1)::bigint, least(s, {pii.REACH})::bigint) || ' ' || substr(t, (e + 1)::bigint, {pii.REACH})), '(^|[^a-z])({'|'.join(pii.CONTEXT['ssn'])})([^a-z]|$)')"
 _KINDS = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
-    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(h, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(p as hugeint), 999) > 255)) = 0"),
-    "card": (r"[0-9]([\x20-]?[0-9])+", f"length(d) between 12 and 19 and {_LUHN}"),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) between 9 and 15"),
-    "iban": ("[A-Za-z0-9]+", f"regexp_full_match(h, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') and {_MOD97}"),
-    "ssn": ("[0-9-]+", f"regexp_full_match(h, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') and {_NEAR}"),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "true", "len(list_filter(string_split(h, '.'), lambda p: length(ltrim(p, '0')) > 3 or coalesce(try_cast(p as hugeint), 999) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", "length(d) >= 12", f"length(d) <= 19 and {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "true", "length(d) between 9 and 15"),
+    "iban": ("[A-Za-z0-9]+", "regexp_full_match(h, '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}')", _MOD97),
+    "ssn": ("[0-9-]+", "regexp_full_match(h, '[0-9]{3}-[0-9]{2}-[0-9]{4}')", "near"),
 }
 
 
 def personal_data() -> str:
     parts = []
-    for rank, (kind, (pattern, fits)) in enumerate(_KINDS.items()):
+    for rank, (kind, (pattern, shape, fits)) in enumerate(_KINDS.items()):
         cut = f"select rid, t, regexp_split_to_array(t, '{pattern}') as gs, regexp_extract_all(t, '{pattern}') as hs from d where regexp_matches(t, '{pattern}')"
         flat = f"select rid, t, unnest(range(1, len(gs) + 1)) as k, unnest(gs) as g, unnest(hs) as h from ({cut})"
-        placed = f"select rid, t, h, regexp_replace(h, '[^0-9]', '', 'g') as d, sum(length(g) + coalesce(length(h), 0)) over (partition by rid order by k) as e from ({flat})"
-        parts.append(f"select rid, {rank} as rank, '{kind}' as kind, s, e from (select *, e - length(h) as s from ({placed}) where h is not null) where {fits}")
+        placed = f"select rid, t, h, regexp_replace(h, '[^0-9]', '', 'g') as d, (sum(length(g) + coalesce(length(h), 0)) over (partition by rid order by k))::bigint as e from ({flat})"
+        shaped = f"select *, e - length(h) as s from ({placed}) where h is not null and {shape}"
+        words = f"lower(substr(t, greatest(s - {pii.REACH}, 0) + 1, least({pii.REACH}, s)) || ' ' || substr(t, e + 1, {pii.REACH}))"
+        near = f"regexp_matches({words}, '(^|[^a-z])({'|'.join(pii.CONTEXT[kind])})([^a-z]|$)')"
+        parts.append(f"select rid, {rank} as rank, '{kind}' as kind, s, e, near from (select *, {near} as near from ({shaped})) where {fits}")
     base = ", ".join(f"'{k}'" for k in pii.BASE_KINDS)
-    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in pii.BASE_KINDS)
-    names = ", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in pii.BASE_KINDS)
+    counts = ", ".join([*(f"count(*) filter (where kind = '{k}') as n_{k}" for k in pii.BASE_KINDS), "count(*) filter (where near) as n_in_context"])
+    names = ", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in (*pii.BASE_KINDS, "in_context"))
     shown = "string_agg(kind || ':' || s::bigint || ':' || e::bigint, ',' order by s, rank)"
     return f"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents), f as ({" union all ".join(parts)}),
 g as (select rid, {counts}, {shown} filter (where kind in ({base})) as base, {shown} as spans from f group by rid)

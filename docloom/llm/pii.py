@@ -1,9 +1,10 @@
 """Personal data by DataFrame functions alone.
 
-Regular expressions propose spans, checksums (Luhn, mod 97) confirm them, and words nearby raise the score of kinds
-that have no checksum. Matches come from regexp_extract_all and their places from the lengths of what split leaves
-between them, so no text leaves the JVM. Patterns are written so that each run of characters is read once: they
-start at a run's start or where the last match ended, and use possessive quantifiers.
+Regular expressions propose spans, checksums (Luhn, mod 97) confirm them, and words nearby raise their scores, which
+decides about the kinds that nothing else confirms. Matches come from regexp_extract_all and their places from the lengths
+of what split leaves between them, so no text leaves the JVM. Patterns are written so that each run of characters is read
+once: they start at a run's start or where the last match ended, and use possessive quantifiers. Sums over a text's matches
+run in blocks, so that the work hardly grows faster than the number of matches.
 """
 
 from __future__ import annotations
@@ -17,31 +18,79 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 
 _LOCAL = r"A-Za-z0-9._%+-"
-#: Kind: pattern over the text. card runs over a text whose single separators between digits are digits.
+#: Kind: pattern over the text.
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9]{12,37}(?![0-9])",
+    "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: Words that make a number without a checksum personal.
-CONTEXT = {"ssn": ("ssn", "social", "security", "tax", "taxpayer")}
-#: Characters on either side in which context words count, score of a bare match, of one in context, and the limit.
-REACH, BARE, IN_CONTEXT, LIMIT = 40, 0.4, 0.9, 0.5
+#: Words that make a match of a kind likelier.
+CONTEXT = {
+    "email": ("mail", "email", "contact", "write", "reach"),
+    "ip": ("ip", "address", "server", "host", "login"),
+    "card": ("card", "visa", "mastercard", "credit", "debit", "payment"),
+    "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax"),
+    "iban": ("iban", "account", "bank", "transfer"),
+    "ssn": ("ssn", "social", "security", "tax", "taxpayer"),
+}
+#: Score of a confirmed match without context, what context adds (up to 1), and the least score of a span.
+BARE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
+RAISE, LIMIT = 0.35, 0.5
+#: Characters on either side in which context words count.
+REACH = 40
+#: Matches to a block of running sums.
+BLOCK = 64
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """A non-empty array, a plain column or lambda variable, cut into blocks."""
+    last = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
+
+
+def _before(values: Column, join) -> Column:
+    """For each whole number of an array, what join makes of all numbers before it, from 0; block by block."""
+    none = F.array().cast("array<int>")
+
+    def scan(v: Column, first: Column) -> Column:
+        step = lambda a, x: F.struct(join(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        return F.aggregate(v, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def all_of(blocks: Column) -> Column:
+        heads = scan(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join)), F.lit(0))
+        return _let(heads, lambda h: F.flatten(F.transform(blocks, lambda b, i: scan(b, F.get(h, i)))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(_blocks(v), all_of)).otherwise(none))
+
+
+FOUND = "array<struct<start:int,end:int,s:string,around:string>>"
 
 
-def _found(text: Column, source: Column, pattern: str, when: Column) -> Column:
-    """array<struct<start,end,s>> of leftmost non-overlapping matches in source; s is that part of text."""
-    hits = F.regexp_extract_all(source, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(source, pattern, -1), lambda g: F.length(g))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    steps = F.arrays_zip(gaps.alias("g"), hits.alias("h"))
-    walked = F.aggregate(steps, zero, lambda a, x: F.struct((a["at"] + x["g"] + F.coalesce(F.length(x["h"]), F.lit(0))).alias("at"),
-        F.when(x["h"].isNull(), a["out"]).otherwise(F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + F.length(x["h"])).alias("end")))).alias("out")), lambda a: a["out"])
-    spans = F.transform(walked, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("s")))
-    return F.when(when & source.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+def _found(text: Column, pattern: str, when: Column) -> Column:
+    """FOUND: the leftmost non-overlapping matches, their text s, and up to REACH characters on either side."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def spans(h: Column, g: Column) -> Column:
+        sizes = F.transform(h, lambda x, i: F.length(x) + F.length(F.get(g, i)))
+        at = lambda b, i: F.get(b, i) + F.length(F.get(g, i))
+        placed = _let(_before(sizes, lambda a, x: a + x), lambda b: F.transform(h, lambda x, i: F.struct(at(b, i).alias("start"), (at(b, i) + F.length(x)).alias("end"), x.alias("s"))))
+        return _let(placed, lambda p: F.flatten(F.transform(_blocks(p), block)))
+
+    def block(p: Column) -> Column:
+        low = F.greatest(F.get(p, F.lit(0))["start"] - REACH, F.lit(0))
+        part = F.substring(text, low + 1, F.element_at(p, -1)["end"] + REACH - low)
+        near = lambda t, s: F.concat(F.substring(t, F.greatest(s["start"] - REACH, F.lit(0)) - low + 1, F.least(s["start"], F.lit(REACH))), F.lit(" "), F.substring(t, s["end"] - low + 1, F.lit(REACH)))
+        return _let(part, lambda t: F.transform(p, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["s"].alias("s"), F.lower(near(t, s)).alias("around"))))
+
+    return F.when(when & text.rlike(pattern), _let(hits, lambda h: _let(gaps, lambda g: spans(h, g)))).otherwise(F.array().cast(FOUND))
 
 
 def _digits(s: Column) -> Column:
@@ -62,33 +111,24 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, c: F.when(c < 58, (a * 10 + c - 48) % 97).otherwise((a * 100 + c - 55) % 97)) == 1
 
 
-def _context(text: Column, span: Column, words: tuple[str, ...]) -> Column:
-    near = F.lower(F.concat(F.substring(text, F.greatest(span["start"] - REACH + 1, F.lit(1)), F.least(span["start"], F.lit(REACH))), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(REACH))))
-    return near.rlike(r"(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])")
+def _confirmed_by(kind: str):
+    """Predicate over a span: the checksum or shape of its kind."""
+    digits = lambda s: F.length(_digits(s["s"]))
+    plain = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return {
+        "ip": lambda s: F.forall(F.split(s["s"], r"\."), lambda p: (F.length(plain(p)) <= 3) & (F.substring(plain(p), 1, 3).cast("int") <= 255)),
+        "card": lambda s: digits(s).between(12, 19) & luhn(_digits(s["s"])),
+        "phone": lambda s: digits(s).between(9, 15),
+        "iban": lambda s: mod97(s["s"]),
+    }.get(kind, lambda s: F.lit(True))
 
 
-def _accepted(kind: str, text: Column) -> tuple:
-    """(predicate, score) over a span of a kind."""
-    if kind == "ip":
-        plain = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
-        return lambda s: F.forall(F.split(s["s"], r"\."), lambda p: (F.length(plain(p)) <= 3) & (F.substring(plain(p), 1, 3).cast("int") <= 255)), lambda s: F.lit(0.9)
-    if kind == "card":
-        n = lambda s: F.length(_digits(s["s"]))
-        return lambda s: n(s).between(12, 19) & luhn(_digits(s["s"])), lambda s: F.lit(0.95)
-    if kind == "phone":
-        return lambda s: F.length(_digits(s["s"])).between(9, 15), lambda s: F.lit(0.8)
-    if kind == "iban":
-        return lambda s: mod97(s["s"]), lambda s: F.lit(0.95)
-    if kind == "ssn":
-        score = lambda s: F.when(_context(text, s, CONTEXT["ssn"]), IN_CONTEXT).otherwise(BARE)
-        return lambda s: score(s) >= LIMIT, score
-    return lambda s: F.lit(True), lambda s: F.lit(0.9)
-
-
-def _confirmed(rank: int, kind: str, text: Column) -> Column:
-    """The accepted spans of a kind as array<struct<start,rank,end,kind,score>>."""
-    accept, score = _accepted(kind, text)
-    return F.transform(F.filter(f"_f_{kind}", accept), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(s).cast("double").alias("score")))
+def _confirmed(rank: int, kind: str) -> Column:
+    """The spans of a kind that are confirmed and score enough, as SPAN."""
+    near = lambda s: s["around"].rlike(r"(?<![a-z])(?:" + "|".join(CONTEXT[kind]) + r")(?![a-z])")
+    score = lambda s: F.when(near(s), min(1.0, BARE[kind] + RAISE)).otherwise(BARE[kind])
+    scored = F.transform(F.filter(f"_f_{kind}", _confirmed_by(kind)), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(s).alias("score")))
+    return F.filter(scored, lambda s: s["score"] >= LIMIT)
 
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
@@ -106,25 +146,42 @@ def find_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return _with_spans(plain, own).select(*kept, "pii").toDF(*(names[c] for c in kept), "pii")
 
 
+def in_context(spans: Column) -> Column:
+    """How many spans have a context word nearby."""
+    bare = F.create_map(*(F.lit(x) for pair in BARE.items() for x in pair))
+    return F.size(F.filter(spans, lambda s: s["score"] > bare[s["kind"]]))
+
+
 def _with_spans(docs: DataFrame, text_col: str) -> DataFrame:
     """find_pii() over numbered columns."""
     digit = F.col("_t").rlike("[0-9]")
     gate = {"email": F.instr("_t", "@") > 0, "ip": digit & (F.instr("_t", ".") > 0), "card": digit, "phone": F.instr("_t", "+") > 0, "iban": digit, "ssn": digit & (F.instr("_t", "-") > 0)}
-    src = docs.withColumn("_t", text_of(text_col)).withColumn("_d", F.when(digit, F.regexp_replace("_t", r"(?<=[0-9])[\x20-](?=[0-9])", "0")).otherwise(""))
-    text = F.col("_t")
-    src = src.withColumns({f"_f_{k}": _found(text, F.col("_d") if k == "card" else text, PATTERNS[k], gate[k]) for k in KINDS})
-    return src.withColumn("pii", F.sort_array(F.concat(*(_confirmed(rank, kind, text) for rank, kind in enumerate(KINDS))))).drop("_t", "_d", *(f"_f_{k}" for k in KINDS))
+    src = docs.withColumn("_t", text_of(text_col))
+    src = src.withColumns({f"_f_{k}": _found(F.col("_t"), PATTERNS[k], gate[k]) for k in KINDS})
+    return src.withColumn("pii", F.sort_array(F.concat(*(_confirmed(rank, kind) for rank, kind in enumerate(KINDS))))).drop("_t", *(f"_f_{k}" for k in KINDS))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs with each accepted span replaced by its kind in brackets; where spans overlap, the first one's. Null stays null.
+    """docs with each accepted span replaced by its kind in brackets; spans that overlap become one, of the first one's kind.
 
-    Columns keep their names, which may be any.
+    Null stays null, texts without spans stay as they are, an empty table gives none and repeated rows repeat. Columns
+    keep their names, which may be any.
     """
     plain, (own,) = numbered(docs, text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(own)
-    folded = F.aggregate("pii", zero, lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return _with_spans(plain, own).withColumn(own, F.when(F.size("pii") > 0, folded).otherwise(text)).drop("pii").toDF(*docs.columns)
+
+    def pieces(p: Column, before: Column) -> Column:
+        cuts = F.filter(F.transform(p, lambda s, i: F.struct(F.get(before, i).alias("a"), s["start"].alias("b"), s["kind"].alias("kind"))), lambda c: c["b"] >= c["a"])
+
+        def block(cut: Column) -> Column:
+            first = F.get(cut, F.lit(0))["a"]
+            part = F.substring(text, first + 1, F.element_at(cut, -1)["b"] - first)
+            shown = lambda t: F.transform(cut, lambda c: F.concat(F.substring(t, c["a"] - first + 1, c["b"] - c["a"]), F.lit("["), F.upper(c["kind"]), F.lit("]")))
+            return _let(part, lambda t: F.array_join(shown(t), ""))
+
+        joined = _let(cuts, lambda c: F.array_join(F.transform(_blocks(c), block), ""))
+        return F.concat(joined, F.substring(text, F.array_max(F.transform(p, lambda s: s["end"])) + 1, F.length(text)))
+
+    ends = lambda p: _before(F.transform(p, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    shown = _let(F.col("pii"), lambda p: _let(ends(p), lambda b: pieces(p, b)))
+    return _with_spans(plain, own).withColumn(own, F.when(F.size("pii") > 0, shown).otherwise(text)).drop("pii").toDF(*docs.columns)

@@ -75,7 +75,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"), pii.in_context(F.col("pii")).cast("long").alias("n_in_context"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
