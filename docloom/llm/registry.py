@@ -64,7 +64,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir), words_path=vocabulary())
     base = F.filter("spans", lambda s: s["kind"] != "guess")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, secrets.BASE_KINDS), F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"), F.size("values").cast("long").alias("n_values"), F.array_max(F.transform("values", lambda v: v["bits"])).alias("most_bits"), F.size(F.filter("values", lambda v: v["bits"] < secrets.WEAK_BITS)).cast("long").alias("n_weak"))
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
