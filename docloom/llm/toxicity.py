@@ -133,14 +133,10 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray, smooth: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
     """Pooled adjacent violators: knots and non-decreasing values, each block's share of ones slightly smoothed."""
-    order = np.argsort(score, kind="stable")
+    levels, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []
-    for s, v in zip(score[order], y[order], strict=True):
-        if blocks and blocks[-1][3] == s:
-            blocks[-1][0] += v
-            blocks[-1][1] += 1
-        else:
-            blocks.append([float(v), 1.0, float(s), float(s)])
+    for s, ones, n in zip(levels.tolist(), np.bincount(at, y).tolist(), np.bincount(at).tolist(), strict=True):
+        blocks.append([ones, float(n), s, s])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             a = blocks.pop()
             blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], blocks[-1][2], a[3]]
