@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batched, numbered, staged, text_of
+from docloom.llm.common import batched, join_named, numbered, staged, text_of
 
 SEED = 42
 
@@ -216,7 +216,7 @@ def _hex(fp: Column) -> Column:
 
 def _grouped(fps: DataFrame, radius: int) -> DataFrame:
     """fp, its smallest doc_id and its component, named by a fingerprint: ids needn't tell classes apart."""
-    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     linked = components(shard_links(classes.select("fp", F.col("fp").alias("rep")), radius=radius))
     return staged(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "grouped")
 
@@ -229,9 +229,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     fps = staged(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     grouped = _grouped(fps, radius)
-    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = grouped.join(names, "component").select("fp", "component_id")
-    return fps.join(staged(named, "named"), "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
+    names = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = join_named(grouped, names, "component", "members").select("fp", "component_id", "n")
+    return join_named(fps, staged(named, "named"), "fp", "n").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
