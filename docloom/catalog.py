@@ -201,16 +201,24 @@ def jd_skill_freq(spark, sf_dir):
     return rows.groupBy("s.skill").agg(F.sum("s.n").alias("n"), F.count("*").alias("n_jobs"))
 
 
-@query()
+@query(o.JD_MATCH)
 def jd_match_report(spark, sf_dir):
     m = jobs.match(sections(spark, sf_dir), parsed_jobs(spark, sf_dir))
-    return m.select("doc_id", "jd_id", "jd_score", "jd_grade", "required_ratio", "nice_ratio", "role_match", "years_gap", F.array_join("matched", ",").alias("matched"), F.array_join("top_gaps", ",").alias("top_gaps"))
+    return m.select("doc_id", "jd_id", "jd_score", "jd_grade", "required_ratio", "nice_ratio", "role_match", F.col("years_gap").cast("long").alias("years_gap"), F.array_join("matched", ",").alias("matched"), F.array_join("top_gaps", ",").alias("top_gaps"))
 
 
-@query()
+@query(o.JD_PLACES)
+def jd_skill_places(spark, sf_dir):
+    """Where the skills of a job occur, and the words around them."""
+    m = jobs.match(sections(spark, sf_dir), parsed_jobs(spark, sf_dir).filter("jd_id < 5"))
+    return m.select("doc_id", "jd_id", F.explode("distribution").alias("p")).select("doc_id", "jd_id", "p.*")
+
+
+@query(o.JD_ADJUSTED)
 def jd_adjusted_scores(spark, sf_dir):
-    m = jobs.adjust(jobs.match(_scored(spark, sf_dir), parsed_jobs(spark, sf_dir)))
-    return m.select("doc_id", "jd_id", "s_skills", "s_summary")
+    m = jobs.adjust(jobs.match(_scored(spark, sf_dir).withColumn("role", F.lit("general")), parsed_jobs(spark, sf_dir)))
+    messages_of = F.concat_ws(" | ", "jd_issues_skills", "jd_evidence_summary", "jd_issues_experience")
+    return m.select("doc_id", "jd_id", "s_skills", "s_summary", "overall", "grade", messages_of.alias("messages"))
 
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
-from docloom.operators.scoring import grade
+from docloom.operators.scoring import combine, grade
+from docloom.session import blocks
 
 
 def _pattern(term: str) -> str:
@@ -43,11 +44,30 @@ def parse_jobs(jobs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumns({"role_title": role, "years_required": years, "required_skills": F.when(plain, F.col("_all")).otherwise(required), "nice_to_have": F.when(plain, F.array().cast("array<string>")).otherwise(nice)}).drop("_t", "_low", "_must", "_nice", "_all", "_ms", "_ns")
 
 
+def snippet(text: Column, at: Column, window: int = 6) -> Column:
+    """The words around character at (from 1): window before the one that begins there and as many after it."""
+    word = F.size(tx.words(F.substring(text, F.lit(1), at - 1)))
+    first = F.greatest(F.lit(0), word - window)
+    return F.array_join(F.slice(tx.words(text), first + 1, word + window + 1 - first), " ")
+
+
+def _places(found: Column) -> Column:
+    """array<struct<skill,section,snippet>>: where each found skill first occurs in each section."""
+    parts = F.filter(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s.lower()).alias("text")) for s in lx.SECTIONS)), lambda p: p["text"].isNotNull())
+
+    def of(skill: Column) -> Column:
+        spots = F.transform(parts, lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text"), F.regexp_instr(F.lower(p["text"]), F.concat(F.lit(r"\b\Q"), skill, F.lit(r"\E\b"))).alias("at")))
+        return F.transform(F.filter(spots, lambda p: p["at"] > 0), lambda p: F.struct(skill.alias("skill"), p["section"].alias("section"), snippet(p["text"], p["at"]).alias("snippet")))
+
+    return F.flatten(F.transform(found, of))
+
+
 def match(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row per document and job: documents with section columns against parsed jobs.
 
-    jobs is a stated query set and is joined in full; its text stays bounded, and the terms looked for are those of
-    the lexicon, so each document is scanned once for all terms before the join.
+    jobs is a stated query set, joined in blocks of a bounded size; the terms looked for are those of the lexicon, so each
+    document is scanned once for all terms before the join. A job without role and required skills matches nothing.
+    distribution says in which sections the matched skills occur, with the words around.
     """
     sections = F.concat_ws("\n", *(s.lower() for s in lx.SECTIONS))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -56,9 +76,18 @@ def match(docs: DataFrame, jobs: DataFrame) -> DataFrame:
         "_role_text": F.lower(F.concat_ws(" ", blank("summary"), blank("header"))),
         "_years": F.coalesce(F.regexp_extract(F.concat_ws("\n", blank("summary"), blank("experience")), "(?i)" + lx.MATCH_YEARS, 1).try_cast("int"), F.lit(0)),
     })
+    mine = mine.withColumn("_places", _places(F.col("_found")))
     title = F.filter(F.regexp_extract_all(F.lower("role_title"), F.lit("[a-z]+"), F.lit(0)), lambda w: ~w.isin(*lx.SENIORITY) & w.isin(*lx.ROLE_KEYWORDS))
-    asked = jobs.select("jd_id", "role_title", "years_required", "required_skills", "nice_to_have", title.alias("_title"))
-    df = mine.crossJoin(F.broadcast(asked))
+    out = None
+    for part in blocks(jobs, "jd_id"):
+        asked = part.select("jd_id", "role_title", "years_required", "required_skills", "nice_to_have", title.alias("_title"))
+        pairs = _compared(mine.crossJoin(F.broadcast(asked)))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def _compared(df: DataFrame) -> DataFrame:
+    """match() of pairs."""
     some = (F.col("role_title") != "") | (F.size("required_skills") > 0)
     kept = lambda c: F.filter(c, lambda s: F.array_contains("_found", s))
     df = df.withColumns({"matched": kept("required_skills"), "nice_matched": kept("nice_to_have"), "missing": F.filter("required_skills", lambda s: ~F.array_contains("_found", s)), "_some": some})
@@ -67,14 +96,35 @@ def match(docs: DataFrame, jobs: DataFrame) -> DataFrame:
     df = df.withColumns({
         "role_match": (F.size("_title") > 0) & (hits >= F.greatest(F.lit(1), F.floor(F.size("_title") / 2))),
         "required_ratio": part("matched", "required_skills"), "nice_ratio": part("nice_matched", "nice_to_have"),
-        "years_gap": F.when(F.col("years_required") > 0, F.greatest(F.lit(0), F.col("years_required") - F.col("_years"))).otherwise(0),
+        "years_gap": F.when(F.col("_some") & (F.col("years_required") > 0), F.greatest(F.lit(0), F.col("years_required") - F.col("_years"))).otherwise(0),
+        "distribution": F.filter("_places", lambda p: F.array_contains("required_skills", p["skill"]) | F.array_contains("nice_to_have", p["skill"])),
     })
-    total = F.col("required_ratio") * 7 + F.col("nice_ratio") * 1.5 + F.when(F.col("role_match"), 1.0).otherwise(0.5) + F.when(F.col("years_required") > 0, F.greatest(F.lit(0.0), F.lit(10.0) - F.col("years_gap") * 2)).otherwise(10.0) * 0.05
-    df = df.withColumns({"jd_score": F.when(F.col("_some"), F.round(total, 2)).otherwise(0.0), "top_gaps": F.slice("missing", 1, 5)})
-    return df.withColumn("jd_grade", grade(F.col("jd_score"))).drop("_found", "_role_text", "_years", "_title", "_some")
+    years = F.when(F.col("years_required") > 0, F.greatest(F.lit(0.0), F.lit(10.0) - F.col("years_gap") * 2)).otherwise(10.0)
+    total = F.col("required_ratio") * 7 + F.col("nice_ratio") * 1.5 + F.when(F.col("role_match"), 1.0).otherwise(0.5) + years * 0.05
+    # nine places first: sums in another order then round alike
+    df = df.withColumns({"jd_score": F.when(F.col("_some"), F.round(F.round(total, 9), 2)).otherwise(0.0), "top_gaps": F.slice("missing", 1, 5)})
+    return df.withColumn("jd_grade", grade(F.col("jd_score"))).drop("_found", "_places", "_role_text", "_years", "_title", "_some")
+
+
+#: What a match says about the sections that it changes.
+GAPS = "Missing %d of %d required JD skills (%d%% coverage). Top gaps: %s."
+ALIGNED = "Role title aligns with the Job Description."
+FEWER_YEARS = "Job Description asks for %d+ years; CV may fall short by ~%d year(s)."
 
 
 def adjust(matched: DataFrame) -> DataFrame:
-    """Skills and summary scores changed by a match: s_skills less the gap's penalty, s_summary one more for the role."""
+    """Scores changed by a match: s_skills less the gap's penalty, s_summary one more for the role; overall and grade if there is a role.
+
+    Adds jd_issues_skills, jd_evidence_summary and jd_issues_experience, each a message or null.
+    """
     penalty = F.when(F.size("required_skills") > 0, F.round((1 - F.col("required_ratio")) * 3, 1)).otherwise(0.0)
-    return matched.withColumns({"s_skills": F.greatest(F.lit(0.0), F.round(F.col("s_skills") - penalty, 1)), "s_summary": F.when(F.col("role_match") & (F.col("s_summary") < 10), F.least(F.lit(10.0), F.col("s_summary") + 1)).otherwise(F.col("s_summary"))})
+    better = F.col("role_match") & (F.col("s_summary") < 10)
+    gaps = F.when(F.size("top_gaps") > 0, F.array_join("top_gaps", ", ")).otherwise("n/a")
+    df = matched.withColumns({
+        "jd_issues_skills": F.when(penalty > 0, F.format_string(GAPS, F.size("missing"), F.size("required_skills"), F.bround(F.col("required_ratio") * 100).cast("int"), gaps)),
+        "jd_evidence_summary": F.when(better, ALIGNED),
+        "jd_issues_experience": F.when(F.col("years_gap") > 0, F.format_string(FEWER_YEARS, "years_required", "years_gap")),
+        "s_skills": F.greatest(F.lit(0.0), F.round(F.col("s_skills") - penalty, 1)),
+        "s_summary": F.when(better, F.least(F.lit(10.0), F.round(F.col("s_summary") + 1, 1))).otherwise(F.col("s_summary")),
+    })
+    return combine(df, F.col("role")) if "role" in matched.columns else df

@@ -215,6 +215,37 @@ jb as (select pa.jd_id, regexp_replace(regexp_extract(substring(t, 1, 500), {q(l
 JD_PARSE = f"{JOBS} select * from jb"
 JD_FREQ = f"{JOBS} select term as skill, sum(n)::bigint as n, count(*)::bigint as n_jobs from sk where n > 0 group by term"
 
+_PATTERN = lambda term: r"\b" + "".join("\\" + ch if ch in ".+#" else ch for ch in term) + r"\b"
+_TERMS = ", ".join(f"({q(t)}, {q(_PATTERN(t))})" for t in lx.TECH)
+_JOB_LISTS = f"jl as (select jd_id, role_title, years_required, list_filter(string_split(required, ','), lambda y: y <> '') as req, list_filter(string_split(nice, ','), lambda y: y <> '') as nic, list_filter(regexp_extract_all(lower(role_title), '[a-z]+'), lambda y: not list_contains({terms(lx.SENIORITY)}, y) and list_contains({terms(lx.ROLE_KEYWORDS)}, y)) as title from ({JD_PARSE.replace('select * from jb', 'select jd_id, role_title, years_required, required, nice from jb')}))"
+
+
+def matched(sections: str) -> str:
+    """CTEs from a table of sections to mt: documents and jobs, one row a pair."""
+    return f"""{_JOB_LISTS},
+fd as (select doc_id, list(term) as found from {sections}, (values {_TERMS}) as tv(term, pat) where regexp_matches(lower({ALL_TEXT}), pat) group by doc_id),
+dx as (select s.doc_id, coalesce(found, []::varchar[]) as found, lower(coalesce(summary, '') || ' ' || coalesce(header, '')) as said, coalesce(try_cast(regexp_extract(coalesce(summary, '') || chr(10) || coalesce(experience, ''), {q('(?i)' + lx.MATCH_YEARS)}, 1) as int), 0) as years from {sections} s left join fd using (doc_id)),
+m0 as (select doc_id, jd_id, years_required, req, nic, role_title <> '' or len(req) > 0 as useful, list_filter(req, lambda y: list_contains(found, y)) as hit, list_filter(req, lambda y: not list_contains(found, y)) as gap, len(list_filter(nic, lambda y: list_contains(found, y))) as nh,
+ len(title) > 0 and len(list_filter(title, lambda y: contains(said, y))) >= greatest(1, len(title) // 2) as role_match, years from dx cross join jl),
+m1 as (select *, case when len(req) > 0 then len(hit) / len(req) else 0.0 end::double as required_ratio, case when len(nic) > 0 then nh / len(nic) else 0.0 end::double as nice_ratio, case when useful and years_required > 0 then greatest(0, years_required - years) else 0 end::bigint as years_gap from m0),
+mt as (select *, case when useful then round(round(required_ratio * 7 + nice_ratio * 1.5 + case when role_match then 1.0 else 0.5 end + case when years_required > 0 then greatest(0.0, 10.0 - years_gap * 2) else 10.0 end * 0.05, 9), 2) else 0.0 end::double as jd_score from m1)"""
+
+
+_SEC_ALL = f"with sec_all as materialized ({SECTIONS} select * from sec)"
+JD_MATCH = f"{_SEC_ALL}, {matched('sec_all')} select doc_id, jd_id, jd_score, {GRADE.replace('m >=', 'jd_score >=')} as jd_grade, required_ratio, nice_ratio, role_match, years_gap, array_to_string(hit, ',') as matched, array_to_string(gap[1:5], ',') as top_gaps from mt"
+JD_PLACES = rf"""with sx_all as materialized ({SECTIONS} select * from sx), {_JOB_LISTS},
+wl as (select doc_id, section, text, term, length(regexp_extract(lower(text), '^((?s).*?)' || pat, 1)) as before from sx_all, (values {_TERMS}) as tv(term, pat) where regexp_matches(lower(text), pat)),
+ww as (select *, {words('text')} as ws, {count('substr(text, 1, before)')} as k from wl)
+select doc_id, jd_id, term as skill, section, array_to_string(ws[greatest(0, k - 6) + 1:k + 7], ' ') as snippet from ww join jl on list_contains(req, term) or list_contains(nic, term) where jd_id < 5"""
+JD_ADJUSTED = f"""with sec_all as materialized ({SECTIONS} select * from sec), {SCORED}, {matched('sec_all')},
+pn as (select mt.*, j.contact, j.summary, j.experience, j.skills, j.education, j.projects, j.length, case when len(req) > 0 then round((1 - required_ratio) * 3, 1) else 0.0 end as pen, role_match and j.summary < 10 as better from mt join joined j using (doc_id)),
+ad as (select *, greatest(0.0, round(skills - pen, 1))::double as s_skills, case when better then least(10.0, round(summary + 1, 1)) else summary end::double as s_summary from pn),
+lo as (select doc_id, jd_id, s_skills, s_summary, concat_ws(' | ', case when pen > 0 then printf('Missing %d of %d required JD skills (%d%% coverage). Top gaps: %s.', len(gap), len(req), round_even(required_ratio * 100, 0)::int, case when len(gap) > 0 then array_to_string(gap[1:5], ', ') else 'n/a' end) end, case when better then 'Role title aligns with the Job Description.' end, case when years_gap > 0 then printf('Job Description asks for %d+ years; CV may fall short by ~%d year(s).', years_required, years_gap) end) as messages,
+ unnest(['Contact','Summary','Experience','Skills','Education','Projects','Length_Formatting']) as section, unnest([contact, s_summary, experience, s_skills, education, projects, length]) as score from ad),
+wt as ({WEIGHTS}), mm as (select doc_id, jd_id, any_value(s_skills) as s_skills, any_value(s_summary) as s_summary, any_value(messages) as messages, round(sum(score * weight) / sum(weight), 9) as m from lo join wt on wt.section = lo.section and wt.role = 'general' group by doc_id, jd_id)
+select doc_id, jd_id, s_skills, s_summary, round(m, 1) as overall, {GRADE} as grade, messages from mm"""
+
+
 _SIGN = "select doc_id, quality * 6.0 + 2 as human, least(10.0, 1.0 + (doc_id * 37 % 90) / 10.0)::double as auto, case when doc_id % 4 = 0 then 'pm' when doc_id % 4 = 1 then 'swe' else 'data' end as role from labels"
 _RANK = "(rank() over ({w} order by {c}) + (count(*) over ({p}{c}) - 1) / 2.0)"
 
