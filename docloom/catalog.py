@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
-from docloom.operators import jobs, layout, messages, redact, retrieve, review_log, scoring, segment, stats
+from docloom.operators import jobs, layout, messages, redact, report, retrieve, review_log, scoring, segment, stats
 from docloom.plans import oracles as o
 from docloom.plans.corpus import CORPUS, JDS
 from docloom.session import table
@@ -306,6 +306,39 @@ def grade_bands_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.grade(m).alias("grade"), scoring.status(m).alias("status"))
 
 
+@query(o.REPORT_BANDS)
+def report_bands(spark, sf_dir):
+    k = F.col("o_orderkey")
+    m = k % 101 / 10.0
+    said = F.when(k % 7 == 0, "n/a").otherwise(m.cast("string"))
+    name = F.when(k % 3 == 0, "Length_Formatting").when(k % 3 == 1, "Skills").otherwise("work_history")
+    confidence = k % 10 / 10.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", report.colour(m).alias("colour"), report.recommendation(said).alias("recommendation"), report.role_label(F.lit("pm"), confidence).alias("role_label"), report.display_name(name).alias("display"), report.number(said).alias("number"))
+
+
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for scored sections, five to an order."""
+    names = ["Contact", "Summary", "Skills", "Education", "Length_Formatting"]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(*map(F.lit, names))).alias("ord", "name"))
+    k, i = F.col("doc_id"), F.col("ord")
+    return rows.withColumns({"score": (k * 7 + i * 31) % 101 / 10.0, "n_issues": (k + i) % 4, "n_evidence": (k * 3 + i) % 3, "overall": k % 101 / 10.0, "grade": F.concat(F.lit("grade "), (k % 5).cast("string"))})
+
+
+@query(o.SUMMARY_PROMPTS)
+def summary_prompts(spark, sf_dir):
+    return report.summary_prompts(report_rows(spark, sf_dir))
+
+
+@query(o.SECTION_PROMPTS)
+def section_prompts(spark, sf_dir):
+    rule = F.struct(F.col("id").alias("rule_id"), "weight", F.concat("category", F.lit(" rule")).alias("text"))
+    rules = scoring.rubric(spark).filter("role = 'general'").groupBy(F.col("category").alias("name")).agg(F.sort_array(F.collect_list(rule)).alias("rules"))
+    rows = report_rows(spark, sf_dir).join(F.broadcast(rules), "name", "left")
+    said = lambda n: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n).cast("int") - 1), lambda i: F.concat("name", F.lit(" "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    prompt = report.section_prompt(F.col("name"), F.col("score"), said("n_evidence"), said("n_issues"), F.coalesce("rules", F.array().cast("array<struct<rule_id:string,weight:double,text:string>>")))
+    return rows.select("doc_id", "name", prompt.alias("prompt"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page spans derived from lineitem: one page an order, in one or two columns."""
     x0 = F.when((F.col("l_orderkey") % 2 == 0) & (F.col("l_linenumber") % 2 == 0), 330.0).otherwise(40.0) + F.col("l_partkey") % 3

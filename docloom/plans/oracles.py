@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions import lexicon as lx
+from docloom.operators import report
 from docloom.operators.segment import date_range
 from docloom.plans.corpus import CORPUS, JDS
 
@@ -297,3 +298,22 @@ t as (select doc_id, filename, k, file from g join (values (0, ''), (1, '.pdf'),
 select doc_id, filename, file from t qualify row_number() over (partition by doc_id, filename order by k) = 1"""
 ROLE_ACCURACY = f"""select case doc_id % 3 when 0 then 'swe' when 1 then 'data' else 'pm' end as expected, count(*)::bigint as n,
 count(*) filter (where role = case doc_id % 3 when 0 then 'swe' when 1 then 'data' else 'pm' end)::bigint as n_right from ({ROLE}) r group by 1"""
+
+
+def _sql_band(x: str, bands: list[tuple]) -> str:
+    return "case " + " ".join(f"when {x} >= {low} then {q(text)}" for low, text in bands[:-1]) + f" else {q(bands[-1][1])} end"
+
+
+_M = "select o_orderkey, (o_orderkey % 101) / 10.0 as m, case when o_orderkey % 7 = 0 then 'n/a' else cast((o_orderkey % 101) / 10.0 as varchar) end as said, (o_orderkey % 10) / 10.0 as conf, case o_orderkey % 3 when 0 then 'Length_Formatting' when 1 then 'Skills' else 'work_history' end as name from orders"
+REPORT_BANDS = f"""with x as ({_M}) select o_orderkey, {_sql_band('m', report.COLOURS)} as colour, {_sql_band('coalesce(try_cast(said as double), 0)', report.RECOMMENDATIONS)} as recommendation, 'PM' || case when conf < 0.5 then ' *' else '' end as role_label,
+ array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as display, coalesce(try_cast(said as double), 0.0) as number from x"""
+_REPORT_ROWS = "select o_orderkey as doc_id, unnest(range(5)) as ord, unnest(['Contact', 'Summary', 'Skills', 'Education', 'Length_Formatting']) as name from orders"
+_REPORT = f"select doc_id, ord, name, ((doc_id * 7 + ord * 31) % 101) / 10.0::double as score, (doc_id + ord) % 4 as n_issues, (doc_id * 3 + ord) % 3 as n_evidence, ((doc_id % 101) / 10.0)::double as overall, 'grade ' || doc_id % 5 as grade from ({_REPORT_ROWS})"
+_P = [q(x) for x in report.SUMMARY_PROMPT]
+SUMMARY_PROMPTS = f"""with r as ({_REPORT}), w as (select *, row_number() over (partition by doc_id order by score, ord) as place from r),
+g as (select doc_id, any_value(overall) as overall, any_value(grade) as grade, string_agg('- ' || name || ': ' || score::double || '/10 (' || n_issues || ' issues, ' || n_evidence || ' strengths)', chr(10) order by ord) as lines, string_agg(name || ' (' || score::double || '/10)', ', ' order by place) filter (where place <= 2) as weakest from w group by doc_id)
+select doc_id, weakest, {_P[0]} || overall || {_P[1]} || grade || {_P[2]} || lines || {_P[3]} || weakest || {_P[4]} as prompt from g"""
+_S = [q(x) for x in report.SECTION_PROMPT]
+_SAID = "case when {n} = 0 then '(none)' else array_to_string(list_transform(range({n}), lambda i: '{m}' || name || ' ' || i), chr(10)) end"
+SECTION_PROMPTS = f"""with r as ({_REPORT}), ru as (select category, string_agg('- [' || id || '] (weight ' || weight || ') ' || category || ' rule', chr(10) order by id) as told from {_RULES} where role = 'general' group by category)
+select doc_id, name, {_S[0]} || name || {_S[1]} || score::double || {_S[2]} || {_SAID.format(n='n_evidence', m='+ ')} || {_S[3]} || {_SAID.format(n='n_issues', m='- ')} || {_S[4]} || coalesce(told, '') || {_S[5]} as prompt from r left join ru on category = name"""
