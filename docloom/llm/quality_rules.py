@@ -53,7 +53,6 @@ def signals(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     added = F.transform(at, lambda x, i: F.when(i == 0, F.lit(5)).otherwise(F.least(F.lit(5), x - F.get(at, i - 1))))
     covered = F.coalesce(F.aggregate(added, F.lit(0), lambda a, x: a + x), F.lit(0))
     without = lambda pattern: F.length("_q_t") - F.length(F.regexp_replace("_q_t", pattern, ""))
-    stop = F.array(*map(F.lit, sorted(set(STOP_WORDS))))
     found = {
         "n_words": n,
         "word_chars": F.length(F.regexp_replace("_q_t", f"{BLANK}+", "")),
@@ -63,7 +62,7 @@ def signals(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         "n_lines": F.size("_q_lines"),
         "n_capitals": without(r"\p{Lu}"),
         "n_pipes": without(r"\|"),
-        "n_stop_words": F.size(F.filter(w, lambda x: F.array_contains(stop, F.lower(x)))),
+        "n_stop_words": F.size(F.filter(w, lambda x: F.lower(x).isin(*sorted(set(STOP_WORDS))))),
     }
     return src.withColumns({f"_q_{k}": v.cast("long") for k, v in found.items()}).drop("_q_t", "_q_w", "_q_lines", "_q_h", "_q_twice", "_q_p", "_q_at")
 
