@@ -283,6 +283,13 @@ def corrections_summary(spark, sf_dir):
     return s.withColumns({c: F.round(c, 6) for c in ("min_delta", "max_delta")})
 
 
+@query(o.LOG_REPORT)
+def corrections_report(spark, sf_dir):
+    """All corrections by section, valid or not; some have lost their section."""
+    rows = review_rows(spark, sf_dir)
+    return review_log.report(rows.withColumn("section", F.when(F.col("event_id") % 9 != 0, F.col("section"))))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
     return rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("label").alias("query_label")), rows
@@ -306,6 +313,21 @@ def grade_bands_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.grade(m).alias("grade"), scoring.status(m).alias("status"))
 
 
+@query(o.MESSAGES)
+def section_messages(spark, sf_dir):
+    """What speaks for and against the sections that list statements or skills."""
+    told = messages.add_messages(sections(spark, sf_dir))
+    rows = F.array(*(F.struct(F.lit(s).alias("section"), F.array_join(f"evidence_{s}", " | ").alias("evidence"), F.array_join(f"issues_{s}", " | ").alias("issues")) for s in ("experience", "projects", "skills")))
+    return told.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
+
+
+@query(o.ISSUE_COUNTS)
+def issue_counts(spark, sf_dir):
+    """How many issues the sections of statements and skills have in each document."""
+    told = messages.add_messages(sections(spark, sf_dir))
+    return told.select("doc_id", report.issue_count(*(F.col(f"issues_{n}") for n in ("experience", "projects", "skills"))).cast("long").alias("n_issues"))
+
+
 @query(o.REPORT_BANDS)
 def report_bands(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -351,7 +373,7 @@ def columns_detect(spark, sf_dir):
     return layout.reading_order(spans(spark, sf_dir)).select("doc_id", "n_columns", "n_spans")
 
 
-@query()
+@query(o.READING)
 def reading_order(spark, sf_dir):
     return layout.reading_order(spans(spark, sf_dir))
 

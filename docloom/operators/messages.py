@@ -1,7 +1,7 @@
 """What speaks for a section and what is amiss in it, as column expressions beside the section scores.
 
-Covers contact, summary, education and length. A message is a template and the condition that it needs; a document's
-messages keep the table's order.
+Covers all scored sections. A message is a template and the condition that it needs; a document's messages keep the
+table's order.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions import lexicon as lx
 from docloom.functions import text as tx
+from docloom.operators import scoring
+from docloom.operators import segment as sg
 
 #: Fixed values: (condition, message if it holds, message if it does not); {} stands for the condition's detail.
 CONTACT = [
@@ -35,8 +37,41 @@ LENGTH_BANDS = [
     (1300, False, "CV is getting long ({} words). Trim if under 7 years experience."),
     (None, False, "CV is too long ({} words). Cut to 1 page if <7 yrs exp, 2 pages max."),
 ]
-MISSING = {"contact": "No contact information detected.", "summary": "No professional summary section found.", "education": "No education section found."}
+MISSING = {"contact": "No contact information detected.", "summary": "No professional summary section found.", "education": "No education section found.", "experience": "No experience section found.", "skills": "No skills section found.", "projects": "No projects section found."}
 UNPROFESSIONAL = "Email handle looks unprofessional."
+#: Fixed values of the sections that list statements: (least share, whether it speaks for the section, message) of strong
+#: verbs and of metrics, what is amiss otherwise, and in which order. {n}: statements, {k}: those in question.
+STATEMENTS = {
+    "experience": {
+        "verbs": [(0.7, True, "{k}/{n} statements start with strong action verbs."), (0.4, False, "Only {k}/{n} statements start with strong action verbs."), (0.0, False, "Only {k}/{n} statements start with strong action verbs. Most are weak/passive.")],
+        "metrics": [(0.6, True, "{k}/{n} statements include measurable metrics."), (0.3, False, "Only {k}/{n} statements contain metrics — add more."), (0.0, False, "Only {k}/{n} statements contain metrics. Add numbers, percentages, or scale to every bullet.")],
+        "weak": "{k} statement(s) start with weak phrases like 'Responsible for' or 'Helped'.",
+        "prose": "Experience is written in paragraph format. Convert to bullet points — recruiters scan, they don't read prose.",
+        "none": "No bullet points or statements detected.",
+        "order": ("verbs", "weak", "metrics", "prose"),
+    },
+    "projects": {
+        "verbs": [(0.5, True, "{k}/{n} project bullets start with strong verbs."), (0.25, None, ""), (0.0, False, "Most project bullets lack strong action verbs.")],
+        "metrics": [(0.4, True, "{k}/{n} project bullets include metrics."), (0.2, None, ""), (0.0, False, "Add metrics (%, $, scale) to project bullets — what was the impact?")],
+        "weak": "{k} project bullet(s) start with weak phrases.",
+        "prose": "Projects written in paragraph format. Use bullets — one line per project.",
+        "none": "No project bullets or statements detected.",
+        "order": ("verbs", "metrics", "prose", "weak"),
+    },
+}
+ROLES = "{k} roles detected."
+#: What is said about the skills that are known, vague, spelt differently, and grouped.
+KNOWN_SKILLS = {
+    "few": "Only {k} recognized technical skills found (of {n} listed). List named tools/tech — the scorer checks alias-normalized coverage, not raw count.",
+    "some": "{k} recognized skills listed.",
+    "more": "Consider adding 5–10 more role-relevant tools.",
+    "many": "{k} recognized skills listed — solid breadth.",
+    "vague": "{k}% of listed skills are vague phrases ({n}). Replace with named tools.",
+    "aliases": "After alias normalization: {k} unique recognized skills (vs {n} raw tokens).",
+    "categories": "By category: {k}.",
+    "grouped": "Skills appear to be grouped by category.",
+    "none": "No skills detected — try a comma-separated list.",
+}
 
 Pair = tuple[list[Column], list[Column]]
 
@@ -88,23 +123,80 @@ def length(text: Column) -> Pair:
     return size[0] + checks[0], size[1] + checks[1]
 
 
+def _filled(template: str, k: Column | None = None, n: Column | None = None) -> Column:
+    """The template with {k} and {n} replaced."""
+    parts: list[Column] = []
+    for piece in template.replace("{n}", "{k}\0").split("{k}"):
+        if parts:
+            parts.append((n if piece.startswith("\0") else k).cast("string"))
+        parts.append(F.lit(piece.lstrip("\0")))
+    return F.concat(*parts)
+
+
+def statements(kind: str, text: Column, bullets: Column, found: Column) -> Pair:
+    """Messages of experience or projects over their statements, a plain column."""
+    table, n = STATEMENTS[kind], F.size(found)
+    strong, weak, metric = (F.size(F.filter(found, f)) for f in (scoring.is_strong, scoring.is_weak, scoring.has_metric))
+    good: dict[str, Column] = {}
+    bad = {"weak": F.when(weak > 0, _filled(table["weak"], weak)), "prose": F.when(~bullets, F.lit(table["prose"]))}
+    for name, k in (("verbs", strong), ("metrics", metric)):
+        sides: dict[bool, Column] = {}
+        above = F.lit(False)
+        for least, speaks_for, told in table[name]:
+            inside = ~above & (tx.ratio(k, n) >= least)
+            above = tx.ratio(k, n) >= least
+            if speaks_for is not None:
+                sides[speaks_for] = F.coalesce(*([sides[speaks_for]] if speaks_for in sides else []), F.when(inside, _filled(told, k, n)))
+        good[name], bad[name] = sides[True], sides[False]
+    pros = [good["verbs"], good["metrics"]]
+    if kind == "experience":
+        dated = F.size(F.filter(F.transform(tx.lines(text), tx.strip), lambda x: x.rlike(lx.YEAR) & (tx.word_count(x) <= 15)))
+        pros.append(F.when(dated >= 3, _filled(ROLES, dated)))
+    some = n > 0
+    return [F.when(some, x) for x in pros], [F.when(~some, F.lit(table["none"])), *(F.when(some, bad[name]) for name in table["order"])]
+
+
+def skills(text: Column, listed: Column, known: Column) -> Pair:
+    """Messages of the skills section; listed (tokens of at most 40 characters) and known must be plain columns."""
+    m, n, k = KNOWN_SKILLS, F.size(listed), F.size(known)
+    is_vague = lambda t: F.lower(t).isin(*lx.VAGUE)
+    vague, concrete = F.filter(listed, is_vague), F.size(F.filter(listed, lambda t: ~is_vague(t) & ~F.lower(t).startswith("etc")))
+    by = F.array(*(F.struct((-F.size(F.array_intersect(known, tx.one_of(names)))).alias("n"), F.lit(c).alias("c")) for c, names in lx.SKILLS.items()))
+    kinds = F.array_join(F.transform(F.filter(F.sort_array(by), lambda x: x["n"] < 0), lambda x: F.concat((-x["n"]).cast("string"), F.lit(" "), x["c"])), ", ")
+    share = tx.ratio(F.size(vague), n)
+    some = n > 0
+    good = [
+        F.when(k.between(3, 7), _filled(m["some"], k)).when(k >= 8, _filled(m["many"], k)),
+        F.when((k > 0) & (k < concrete), _filled(m["aliases"], k, concrete)),
+        F.when(k > 0, _filled(m["categories"], kinds)),
+        F.when(tx.has(text, lx.SKILL_GROUP), F.lit(m["grouped"])),
+    ]
+    bad = [F.when(k < 3, _filled(m["few"], k, n)).when(k < 8, F.lit(m["more"])), F.when(share >= 0.5, _filled(m["vague"], F.floor(share * 100), F.array_join(F.slice(vague, 1, 3), ", ")))]
+    return [F.when(some, x) for x in good], [F.when(~some, F.lit(m["none"])), *(F.when(some, x) for x in bad)]
+
+
 def add_messages(segmented: DataFrame) -> DataFrame:
-    """Adds evidence_X and issues_X, arrays of messages, for contact, summary, education and length.
+    """Adds evidence_X and issues_X, arrays of messages, for every scored section.
 
     A blank or null section has no evidence and one issue, that it is missing; length always counts all sections.
     """
     c = lambda name: F.coalesce(F.col(name), F.lit(""))
     raw = c("raw_contact") if "raw_contact" in segmented.columns else F.concat_ws("\n", *(c(s) for s in ("header", "contact", "links", "summary")))
-    texts = {"contact": raw, "summary": c("summary"), "education": c("education"), "length": F.concat_ws("\n", *(s.lower() for s in lx.SECTIONS))}
-    made = {"contact": contact, "summary": summary, "education": education, "length": length}
+    texts = {"contact": raw, "summary": c("summary"), "experience": c("experience"), "skills": c("skills"), "education": c("education"), "projects": c("projects"), "length": F.concat_ws("\n", *(s.lower() for s in lx.SECTIONS))}
     df = segmented.withColumns({f"_m_{k}": t for k, t in texts.items()})
+    for name in STATEMENTS:
+        bullets, found = scoring.statements(F.col(f"_m_{name}"))
+        df = df.withColumns({f"_m_b_{name}": bullets, f"_m_s_{name}": found})
+    df = df.withColumns({"_m_listed": F.filter(sg.skill_tokens(F.col("_m_skills")), lambda t: F.length(t) <= 40), "_m_known": sg.skill_set(F.col("_m_skills"))})
+    made = {"contact": contact, "summary": summary, "education": education, "length": length, "skills": lambda t: skills(t, F.col("_m_listed"), F.col("_m_known"))}
+    made |= {k: (lambda t, k=k: statements(k, t, F.col(f"_m_b_{k}"), F.col(f"_m_s_{k}"))) for k in STATEMENTS}
     out = {}
-    for name, build in made.items():
+    for name in texts:
         text = F.col(f"_m_{name}")
-        good, bad = (F.array_compact(F.array(*side)) for side in build(text))
+        good, bad = (F.array_compact(F.array(*side)) for side in made[name](text))
         if name in MISSING:
             gone = tx.blank(text)
             good = F.when(gone, F.array().cast("array<string>")).otherwise(good)
             bad = F.when(gone, F.array(F.lit(MISSING[name]))).otherwise(bad)
         out |= {f"evidence_{name}": good, f"issues_{name}": bad}
-    return df.withColumns(out).drop(*(f"_m_{k}" for k in texts))
+    return df.withColumns(out).drop(*(c for c in df.columns if c.startswith("_m_")))

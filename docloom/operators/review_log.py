@@ -25,6 +25,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.text(path))
 
 
+def persist(rows: DataFrame, path: str, rejected: str) -> None:
+    """Append the valid corrections to path and the others, with what is wrong with them, to rejected, as JSON lines."""
+    checked = rows.withColumn("error", problem(*(F.col(c) for c in ("cv_filename", "section", "auto_score", "human_score"))))
+    append(checked.filter("error = ''").drop("error"), path)
+    checked.filter("error <> ''").write.mode("append").json(rejected)
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Append corrections as JSON lines; empty optional fields are left out, a missing timestamp is now."""
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -33,6 +40,14 @@ def append(rows: DataFrame, path: str) -> None:
     rows.withColumns({**optional, "timestamp": stamp, "schema_version": F.lit(1)}).write.mode("append").json(path)
 
 
+def report(rows: DataFrame) -> DataFrame:
+    """summary() without spread, sections that are missing counted as Unknown, and a row of all sections together."""
+    named = rows.withColumn("section", F.coalesce("section", F.lit("Unknown")))
+    d = F.coalesce("human_score", F.lit(0.0)) - F.coalesce("auto_score", F.lit(0.0))
+    both = named.rollup("section").agg(F.count("*").alias("n"), F.round(F.avg(d), 6).alias("mean_delta"), F.grouping("section").alias("_all"))
+    return both.select(F.when(F.col("_all") == 1, "All").otherwise(F.col("section")).alias("section"), "n", "mean_delta")
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Per section: n and the mean, least and greatest of human - auto. Runs on streams too."""
     d = F.col("human_score") - F.col("auto_score")

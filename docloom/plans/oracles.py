@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from docloom.functions import lexicon as lx
-from docloom.operators import report
+from docloom.operators import messages, report
 from docloom.operators.segment import date_range
 from docloom.plans.corpus import CORPUS, JDS
 
@@ -317,3 +317,51 @@ _S = [q(x) for x in report.SECTION_PROMPT]
 _SAID = "case when {n} = 0 then '(none)' else array_to_string(list_transform(range({n}), lambda i: '{m}' || name || ' ' || i), chr(10)) end"
 SECTION_PROMPTS = f"""with r as ({_REPORT}), ru as (select category, string_agg('- [' || id || '] (weight ' || weight || ') ' || category || ' rule', chr(10) order by id) as told from {_RULES} where role = 'general' group by category)
 select doc_id, name, {_S[0]} || name || {_S[1]} || score::double || {_S[2]} || {_SAID.format(n='n_evidence', m='+ ')} || {_S[3]} || {_SAID.format(n='n_issues', m='- ')} || {_S[4]} || coalesce(told, '') || {_S[5]} as prompt from r left join ru on category = name"""
+
+
+def _told(template: str, k: str = "", n: str = "") -> str:
+    return q(template).replace("{k}", f"' || {k} || '").replace("{n}", f"' || {n} || '")
+
+
+def _acts_messages(section: str) -> str:
+    m = messages.STATEMENTS[section]
+    sides: dict[tuple, list[str]] = {}
+    for name, k in (("verbs", "strong"), ("metrics", "metric")):
+        above: list[str] = []
+        for least, speaks_for, told in m[name]:
+            inside = " and ".join([f"{k} / greatest(1, n) >= {least}", *above])
+            if speaks_for is not None:
+                sides.setdefault((name, speaks_for), []).append(f"when {inside} then {_told(told, k, 'n')}")
+            above.append(f"{k} / greatest(1, n) < {least}")
+    case = lambda key: "case " + " ".join(sides[key]) + " end"
+    bad = {"verbs": case(("verbs", False)), "metrics": case(("metrics", False)), "weak": f"case when weak > 0 then {_told(m['weak'], 'weak')} end", "prose": f"case when not b then {q(m['prose'])} end"}
+    roles = f", case when roles >= 3 then {_told(messages.ROLES, 'roles')} end" if section == "experience" else ""
+    weak = f"regexp_matches(lower(y), '^(?:{'|'.join(lx.WEAK_VERBS)})') or len(list_intersect({words('lower(y)')}[1:3], {terms(lx.WEAK_VERBS)})) > 0"
+    return rf"""select doc_id, '{section}' as section, case when {blank('t')} or n = 0 then '' else concat_ws(' | ', {case(('verbs', True))}, {case(('metrics', True))}{roles}) end as evidence,
+ case when {blank('t')} then {q(messages.MISSING[section])} when n = 0 then {q(m['none'])} else concat_ws(' | ', {', '.join(bad[x] for x in m['order'])}) end as issues
+from (select doc_id, t, b, len(s) as n, len(list_filter(s, lambda y: list_contains({terms(lx.STRONG_VERBS)}, regexp_replace(regexp_extract(lower(y), '^\S+'), '[.,;:]+$', '')))) as strong, len(list_filter(s, lambda y: {weak})) as weak, len(list_filter(s, lambda y: regexp_matches(y, {q(lx.METRIC)}, 'i'))) as metric,
+ len(list_filter(list_transform(string_split(t, chr(10)), lambda y: {strip('y')}), lambda y: regexp_matches(y, {q(lx.YEAR)}) and {count('y')} <= 15)) as roles
+ from (select *, case when b then list_filter(list_transform(string_split(t, chr(10)), lambda y: regexp_replace({strip('y')}, '^{_MARK}\s*', '')), lambda y: {count('y')} >= 3) else list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {strip('y')}), lambda y: {count('y')} >= 6) end as s
+ from (select doc_id, coalesce({section}, '') as t, regexp_matches(coalesce({section}, ''), '(?m)^\s*{_MARK}\s+') as b from sec_all)))"""
+
+
+def _skills_messages() -> str:
+    m = messages.KNOWN_SKILLS
+    vague = f"list_filter(l, lambda y: list_contains({terms(lx.VAGUE)}, lower(y)))"
+    return rf"""select doc_id, 'skills' as section, case when {blank('t')} or n = 0 then '' else concat_ws(' | ', case when k between 3 and 7 then {_told(m['some'], 'k')} when k >= 8 then {_told(m['many'], 'k')} end, case when k > 0 and k < c then {_told(m['aliases'], 'k', 'c')} end, case when k > 0 then {_told(m['categories'], 'kinds')} end, case when regexp_matches(t, {q(lx.SKILL_GROUP)}, 'i') then {q(m['grouped'])} end) end as evidence,
+ case when {blank('t')} then {q(messages.MISSING['skills'])} when n = 0 then {q(m['none'])} else concat_ws(' | ', case when k < 3 then {_told(m['few'], 'k', 'n')} when k < 8 then {q(m['more'])} end, case when len(v) / n >= 0.5 then {_told(m['vague'], 'floor(len(v) / n * 100)::int', "array_to_string(v[1:3], ', ')")} end) end as issues
+from (select doc_id, t, len(l) as n, {vague} as v, len(list_filter(l, lambda y: not list_contains({terms(lx.VAGUE)}, lower(y)) and not starts_with(lower(y), 'etc'))) as c, coalesce(k, 0) as k, kinds
+ from (select doc_id, coalesce(skills, '') as t, list_filter(list_transform(regexp_split_to_array(coalesce(skills, ''), '[,;|\n•·]+'), lambda y: {strip('y')}), lambda y: y <> '' and length(y) <= 40) as l from sec_all)
+ left join (select doc_id, sum(k)::bigint as k, string_agg(k || ' ' || category, ', ' order by k desc, category) as kinds from (select doc_id, category, count(*) as k from sk join {_CATEGORY} using (skill) group by doc_id, category) group by doc_id) using (doc_id))"""
+
+
+MESSAGES = f"with sec_all as materialized ({SECTIONS} select * from sec), {SKILL_ROWS.replace(SECTIONS, 'sec as (select * from sec_all)').lstrip(', ')}, ms as ({_acts_messages('experience')} union all {_acts_messages('projects')} union all {_skills_messages()}) select * from ms"
+ISSUE_COUNTS = f"select doc_id, sum(case when issues = '' then 0 else len(string_split(issues, ' | ')) end)::bigint as n_issues from ({MESSAGES}) group by doc_id"
+LOG_REPORT = f"with l as (select * replace (case when event_id % 9 = 0 then null else section end as section) from ({_LOG})), r as (select coalesce(section, 'Unknown') as section, human_score - auto_score as d from l) select section, count(*)::bigint as n, round(avg(d), 6) as mean_delta from r group by section union all select 'All', count(*)::bigint, round(avg(d), 6) from r"
+READING = f"""with s as (select *, x0 + 60 as x1 from ({_SPANS})), d as (select distinct doc_id, page_no, width, round_even(x0, 0) as x from s),
+g as (select *, lead(x) over (partition by doc_id, page_no order by x) as nx from d),
+w as (select doc_id, page_no, max(width) as width, max(nx - x) as gap, arg_max(nx, (nx - x) * 10000 - x) as r, arg_max((x + nx) / 2, (nx - x) * 10000 - x) as mid from g group by 1, 2),
+c as (select s.*, case when gap >= 0.15 * w.width and r >= 0.45 * w.width then 2 else 1 end as n_columns, mid from s join w using (doc_id, page_no)),
+e as (select *, case when n_columns = 2 and (x0 + x1) / 2 >= mid then 1 else 0 end as side from c),
+l as (select doc_id, page_no, n_columns, side, y0, count(*) as k, string_agg(text, ' ' order by x0, text) as line from e group by all)
+select doc_id, page_no, n_columns::bigint as n_columns, sum(k)::bigint as n_spans, count(*)::bigint as n_lines, string_agg(line, chr(10) order by side, y0) as text from l group by doc_id, page_no, n_columns"""
