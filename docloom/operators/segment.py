@@ -14,8 +14,10 @@ _BULLET = r"^\s*[•●▪\-\*]\s"
 _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)(?:[a-z]+)?"
 
 
-#: What any heading looks like; most lines fail it at their first character.
-ANY_HEADING = "|".join(f"(?:{pattern})" for _, pattern in lx.HEADINGS)
+#: What any heading looks like, anchored once, so that a line is tried from its beginning only.
+ANY_HEADING = r"^(?:" + "|".join(pattern.removeprefix("^") for _, pattern in lx.HEADINGS) + ")"
+#: No heading has more characters, unless it has runs of blanks.
+LONGEST_HEADING = 40
 
 
 def heading(line: Column) -> Column:
@@ -28,7 +30,8 @@ def _opens(low: Column) -> Column:
     chain = None
     for section, pattern in lx.HEADINGS:
         chain = F.when(low.rlike(pattern), section) if chain is None else chain.when(low.rlike(pattern), section)
-    return F.when(low.rlike(ANY_HEADING), chain)
+    short = (F.length(low) <= LONGEST_HEADING) | low.rlike(r"\s\s")
+    return F.when(short & low.rlike(ANY_HEADING), chain)
 
 
 def date_range(strict_compat: bool = True) -> str:
