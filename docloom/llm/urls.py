@@ -115,9 +115,9 @@ def reputation(pages: DataFrame, *, url_col: str = "url", outcome_col: str = "ou
 
     top = suffixes.withColumns({"pn": F.lit(total["n"]), "pk": F.lit(total["k"]), "prate": F.lit(root), "psize": F.lit(total["n"] + 2.0)})
     s1 = _strength(top, 2.0)
-    middle = under(domains, _shrunk(top, s1), "suffix")
+    middle = staged(under(domains, _shrunk(top, s1), "suffix"), "domains")
     s2 = _strength(middle, s1)
-    low = under(hosts, _shrunk(middle, s2).drop("suffix"), "domain")
+    low = staged(under(hosts, _shrunk(middle, s2).drop("suffix"), "domain"), "priors")
     s3 = _strength(low, s2)
     rates = _shrunk(low, s3)
     a = F.greatest(F.col("rate") * F.col("size"), F.lit(1e-3))
