@@ -17,8 +17,9 @@ def _pattern(term: str) -> str:
 
 def skill_counts(text: Column) -> Column:
     """array<struct<n,skill>> of lexicon terms that occur, the most frequent first, then by name."""
-    low = F.lower(text)
-    found = F.array(*(F.struct((-F.regexp_count(low, F.lit(_pattern(t)))).alias("n"), F.lit(t).alias("skill")) for t in lx.TECH))
+    # a term's pattern is tried only where its characters are
+    count = lambda low, t: F.when(low.contains(t), -F.regexp_count(low, F.lit(_pattern(t)))).otherwise(0)
+    found = tx.bound(F.lower(text), lambda low: F.array(*(F.struct(count(low, t).alias("n"), F.lit(t).alias("skill")) for t in lx.TECH)))
     return F.transform(F.sort_array(F.filter(found, lambda x: x["n"] < 0)), lambda x: F.struct((-x["n"]).alias("n"), x["skill"].alias("skill")))
 
 
@@ -53,13 +54,14 @@ def snippet(text: Column, at: Column, window: int = 6) -> Column:
 
 def _places(found: Column) -> Column:
     """array<struct<skill,section,snippet>>: where each found skill first occurs in each section."""
-    parts = F.filter(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s.lower()).alias("text")) for s in lx.SECTIONS)), lambda p: p["text"].isNotNull())
+    parts = F.filter(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s.lower()).alias("text"), F.lower(s.lower()).alias("low")) for s in lx.SECTIONS)), lambda p: p["text"].isNotNull())
 
-    def of(skill: Column) -> Column:
-        spots = F.transform(parts, lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text"), F.regexp_instr(F.lower(p["text"]), F.concat(F.lit(r"\b\Q"), skill, F.lit(r"\E\b"))).alias("at")))
+    def of(skill: Column, parts: Column) -> Column:
+        near = F.filter(parts, lambda p: p["low"].contains(skill))
+        spots = F.transform(near, lambda p: F.struct(p["section"].alias("section"), p["text"].alias("text"), F.regexp_instr(p["low"], F.concat(F.lit(r"\b\Q"), skill, F.lit(r"\E\b"))).alias("at")))
         return F.transform(F.filter(spots, lambda p: p["at"] > 0), lambda p: F.struct(skill.alias("skill"), p["section"].alias("section"), snippet(p["text"], p["at"]).alias("snippet")))
 
-    return F.flatten(F.transform(found, of))
+    return tx.bound(parts, lambda all_parts: F.flatten(F.transform(found, lambda skill: of(skill, all_parts))))
 
 
 def match(docs: DataFrame, jobs: DataFrame) -> DataFrame:
