@@ -12,7 +12,7 @@ from docloom.functions import text as tx
 from docloom.operators import jobs, layout, messages, redact, report, retrieve, review_log, scoring, segment, stats
 from docloom.plans import oracles as o
 from docloom.plans.corpus import CORPUS, JDS
-from docloom.session import table
+from docloom.session import spread, table
 from docloom.sources import grades, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,8 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, CORPUS, "customer")
+    spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).createOrReplaceTempView("customer")
+    return spark.sql(CORPUS)
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

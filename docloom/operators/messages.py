@@ -133,10 +133,16 @@ def _filled(template: str, k: Column | None = None, n: Column | None = None) ->
     return F.concat(*parts)
 
 
-def statements(kind: str, text: Column, bullets: Column, found: Column) -> Pair:
-    """Messages of experience or projects over their statements, a plain column."""
-    table, n = STATEMENTS[kind], F.size(found)
-    strong, weak, metric = (F.size(F.filter(found, f)) for f in (scoring.is_strong, scoring.is_weak, scoring.has_metric))
+def counted(found: Column) -> Column:
+    """struct<n,strong,weak,metric> of statements."""
+    kinds = (("strong", scoring.is_strong), ("weak", scoring.is_weak), ("metric", scoring.has_metric))
+    return F.struct(F.size(found).alias("n"), *(F.size(F.filter(found, f)).alias(k) for k, f in kinds))
+
+
+def statements(kind: str, text: Column, bullets: Column, counts: Column) -> Pair:
+    """Messages of experience or projects over their counted() statements, a plain column, as each message reads it."""
+    table = STATEMENTS[kind]
+    n, strong, weak, metric = (counts[k] for k in ("n", "strong", "weak", "metric"))
     good: dict[str, Column] = {}
     bad = {"weak": F.when(weak > 0, _filled(table["weak"], weak)), "prose": F.when(~bullets, F.lit(table["prose"]))}
     for name, k in (("verbs", strong), ("metrics", metric)):
@@ -187,9 +193,10 @@ def add_messages(segmented: DataFrame) -> DataFrame:
     for name in STATEMENTS:
         bullets, found = scoring.statements(F.col(f"_m_{name}"))
         df = df.withColumns({f"_m_b_{name}": bullets, f"_m_s_{name}": found})
+    df = df.withColumns({f"_m_c_{name}": counted(F.col(f"_m_s_{name}")) for name in STATEMENTS})
     df = df.withColumns({"_m_listed": F.filter(sg.skill_tokens(F.col("_m_skills")), lambda t: F.length(t) <= 40), "_m_known": sg.skill_set(F.col("_m_skills"))})
     made = {"contact": contact, "summary": summary, "education": education, "length": length, "skills": lambda t: skills(t, F.col("_m_listed"), F.col("_m_known"))}
-    made |= {k: (lambda t, k=k: statements(k, t, F.col(f"_m_b_{k}"), F.col(f"_m_s_{k}"))) for k in STATEMENTS}
+    made |= {k: (lambda t, k=k: statements(k, t, F.col(f"_m_b_{k}"), F.col(f"_m_c_{k}"))) for k in STATEMENTS}
     out = {}
     for name in texts:
         text = F.col(f"_m_{name}")

@@ -15,7 +15,8 @@ _MARK = r"([-*•●▪]|\d+[.)])"
 
 def contact(text: Column) -> Column:
     low = F.lower(text)
-    raw = tx.has(text, lx.EMAIL, False).cast("int") * 3 + tx.has(text, lx.PHONE, False).cast("int") * 3 + low.contains("linkedin").cast("int") * 2 + low.contains("github").cast("int") - tx.has(low, lx.UNPROFESSIONAL).cast("int") * 2
+    at = text.contains("@")  # which both patterns of addresses need
+    raw = (at & tx.has(text, lx.EMAIL, False)).cast("int") * 3 + tx.has(text, lx.PHONE, False).cast("int") * 3 + low.contains("linkedin").cast("int") * 2 + low.contains("github").cast("int") - (at & tx.has(low, lx.UNPROFESSIONAL)).cast("int") * 2
     return F.when(tx.blank(text), 0.0).otherwise(tx.clamp(raw.cast("double")))
 
 
@@ -30,13 +31,13 @@ def summary(text: Column) -> Column:
 def statements(text: Column) -> tuple[Column, Column]:
     """(has bullets, statements): marked lines of three words or more, or else sentences of six or more."""
     bullets = text.rlike(rf"(?m)^\s*{_MARK}\s+")
-    listed = F.filter(F.transform(tx.lines(text), lambda x: F.regexp_replace(tx.strip(x), rf"^{_MARK}\s*", "")), lambda x: tx.word_count(x) >= 3)
-    spoken = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), tx.strip), lambda x: tx.word_count(x) >= 6)
+    listed = F.filter(F.transform(tx.lines(text), lambda x: F.regexp_replace(tx.strip(x), rf"^{_MARK}\s*", "")), lambda x: tx.has_words(x, 3))
+    spoken = F.filter(F.transform(F.split(text, r"\s(?<=[.!?]\s)\s*"), tx.strip), lambda x: tx.has_words(x, 6))
     return bullets, F.when(bullets, listed).otherwise(spoken)
 
 
 def is_strong(statement: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(F.lower(statement), r"^\S+", 0), r"[.,;:]+$", "").isin(*lx.STRONG_VERBS)
+    return F.rtrim(F.lower(F.regexp_extract(statement, r"^\S+", 0)), F.lit(".,;:")).isin(*lx.STRONG_VERBS)
 
 
 def is_weak(statement: Column) -> Column:
@@ -50,8 +51,11 @@ def has_metric(statement: Column) -> Column:
 
 def _acts(steps_verb, steps_metric, top: float):
     def score(bullets: Column, found: Column, text: Column) -> Column:
-        n = F.size(found)
-        strong, metric = (tx.ratio(F.size(F.filter(found, f)), n) for f in (is_strong, has_metric))
+        shares = F.struct(*(tx.ratio(F.size(F.filter(found, f)), F.size(found)).alias(k) for k, f in (("strong", is_strong), ("metric", has_metric))))
+        points = tx.bound(shares, lambda x: banded(bullets, x["strong"], x["metric"]))
+        return F.when(tx.blank(text), 0.0).when(F.size(found) == 0, 1.0).otherwise(points)
+
+    def banded(bullets: Column, strong: Column, metric: Column) -> Column:
         base = F.lit(2.0)
         for least, value in steps_verb:
             base = F.when(strong >= least, value).otherwise(base)
@@ -59,7 +63,7 @@ def _acts(steps_verb, steps_metric, top: float):
         for least, value in steps_metric:
             more = F.when(metric >= least, value).otherwise(more)
         plain = base + more
-        return F.when(tx.blank(text), 0.0).when(n == 0, 1.0).otherwise(tx.clamp(F.when(bullets, plain).otherwise(F.greatest(F.lit(0.0), plain - 2.0)), 0.0, top))
+        return tx.clamp(F.when(bullets, plain).otherwise(F.greatest(F.lit(0.0), plain - 2.0)), 0.0, top)
 
     return score
 
@@ -70,8 +74,11 @@ projects = _acts([(0.25, 4.0), (0.5, 6.0)], [(0.2, 1.0), (0.4, 2.0)], 10.0)
 
 def skills(text: Column, canonical: Column) -> Column:
     listed = F.filter(sg.skill_tokens(text), lambda t: F.length(t) <= 40)
-    n, known = F.size(listed), F.size(canonical)
-    vague = tx.ratio(F.size(F.filter(listed, lambda t: F.lower(t).isin(*lx.VAGUE))), n)
+    counts = tx.bound(listed, lambda x: F.struct(F.size(x).alias("n"), F.size(F.filter(x, lambda t: F.lower(t).isin(*lx.VAGUE))).alias("vague")))
+    return tx.bound(counts, lambda x: _skill_points(text, F.size(canonical), x["n"], tx.ratio(x["vague"], x["n"])))
+
+
+def _skill_points(text: Column, known: Column, n: Column, vague: Column) -> Column:
     base = F.when(known < 3, 3.0).when(known < 8, 6.0).otherwise(8.0)
     base = F.when(vague >= 0.5, F.greatest(F.lit(0.0), base - 2)).when(vague >= 0.25, F.greatest(F.lit(0.0), base - 1)).otherwise(base)
     return F.when(tx.blank(text), 0.0).when(n == 0, 1.0).otherwise(F.least(F.lit(10.0), base + tx.has(text, lx.SKILL_GROUP).cast("double")))

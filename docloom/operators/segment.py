@@ -15,7 +15,7 @@ _MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)(?:[a-z]+)?"
 
 
 #: What any heading looks like, anchored once, so that a line is tried from its beginning only.
-ANY_HEADING = r"^(?:" + "|".join(pattern.removeprefix("^") for _, pattern in lx.HEADINGS) + ")"
+ANY_HEADING = r"^\s*(?:" + "|".join(pattern.removeprefix(r"^\s*") for _, pattern in lx.HEADINGS) + ")"
 #: No heading has more characters, unless it has runs of blanks.
 LONGEST_HEADING = 40
 
@@ -63,16 +63,18 @@ def skill_tokens(text: Column) -> Column:
 
 def clean_skill(token: Column) -> Column:
     """A listed skill without label, level, remark or second choice."""
-    t = F.substring_index(tx.strip(token), ": ", -1)
+    plain = t = F.substring_index(tx.strip(token), ": ", -1)
     for tail in (r"\s+[-–—]\s+\S.*$", r"\s+\(.*\)$", r"\s+/\s+\S.*$"):
         t = F.regexp_replace(t, tail, "")
-    return F.regexp_replace(t, r"""^[ .;:()\[\]"']+|[ .;:()\[\]"']+$""", "")
+    # every tail begins with a blank and one of these
+    return F.btrim(F.when(plain.rlike(r"\s[-–—(/]"), t).otherwise(plain), F.lit(""" .;:()[]"'"""))
 
 
 def _skills_block(lines: Column) -> Column:
     body = F.array_join(lines, " ")
     listed = F.filter(F.transform(F.split(body, ","), tx.strip), lambda t: t != "")
-    return ((F.size(listed) >= 5) & (F.size(F.filter(listed, lambda t: F.length(t) < 20)) >= 4)) | (F.size(skill_set(body)) >= 3)
+    many = tx.bound(listed, lambda x: (F.size(x) >= 5) & (F.size(F.filter(x, lambda t: F.length(t) < 20)) >= 4))
+    return many | (F.size(skill_set(body)) >= 3)
 
 
 def _longest_run(lines: Column, flags: Column) -> Column:
