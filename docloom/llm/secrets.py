@@ -80,14 +80,60 @@ def _symbol_bits(c: str) -> float:
 
 #: Values that cost fewer bits are guessed in seconds.
 WEAK_BITS = 30.0
-#: Repeats and walks end at any character up to this many, and at their own end however long they are.
-STRETCH = 200
-#: Characters of the longest unit that counts as repeated; what repeats in longer units is costed as if it didn't.
+#: Characters of the longest unit that counts as repeated for a caller of guess_bits() that says nothing; scans take any.
 UNIT = 8
 
 
-def guess_bits(value: str, ranks: Ranks) -> float:
-    """log2 of the guesses that the cheapest segmentation of a whole value needs; the work grows with its length only."""
+def repeats(value: str, longest: float = math.inf) -> list[tuple[int, int, int]]:
+    """Every (start, end, width) of a longest stretch that repeats its first width characters, at most longest, twice or more, the least width.
+
+    Equal characters width apart are looked for at multiples of width only, one of which every such stretch has, so the
+    work is n log n but where stretches are found. Stretches that a part of the unit repeats in are told once.
+    """
+    n, out, known = len(value), [], []
+    for width in range(1, int(min(n // 2, longest)) + 1):
+        known, at = [r for r in known if r[1] - r[0] > width], 0
+        while at + width < n:
+            if value[at] != value[at + width]:
+                at += width
+                continue
+            end = next((e for s, e, w in known if width % w == 0 and s <= at and at + width < e), 0)
+            if end:
+                end -= width
+            else:
+                start, end = at, at + 1
+                while start and value[start - 1] == value[start - 1 + width]:
+                    start -= 1
+                while end + width < n and value[end] == value[end + width]:
+                    end += 1
+                if end - start >= width:
+                    out.append((start, end + width, width))
+                    known.append(out[-1])
+            at = max(at + width, -(-end // width) * width)
+    return out
+
+
+class Stretch:
+    """The starts of segments that may end at any of a stretch's places, each at the logarithm of its length.
+
+    A later start gains on an earlier one less and less the further the end. So one that isn't cheaper at its first end
+    never is, and is left out; the others are all kept.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.starts = least, []
+
+    def cheapest(self, j: int) -> float:
+        return min((cost + math.log2(j - i) for i, cost in self.starts if j - i >= self.least), default=math.inf)
+
+    def add(self, i: int, cost: float) -> None:
+        j = i + self.least
+        if all(cost + math.log2(self.least) < c + math.log2(j - k) for k, c in self.starts):
+            self.starts.append((i, cost))
+
+
+def guess_bits(value: str, ranks: Ranks, unit: float = UNIT) -> float:
+    """log2 of the guesses that the cheapest segmentation of a whole value needs, with repeated units of at most unit characters."""
     n, low, longest = len(value), value.lower(), ranks.longest
     plain, near = low.translate(_LEET), _neighbours()
     best = [0.0] + [math.inf] * n
@@ -99,18 +145,36 @@ def guess_bits(value: str, ranks: Ranks) -> float:
     for c in value:
         brute.append(brute[-1] + _symbol_bits(c))
     mixed = 1.0 if any(c.isupper() for c in value) and any(c.islower() for c in value) else 0.0
-    # same[w][i]: how many characters from i on equal those w further on; walk[i]: where the walk from i ends
-    same = [[0] * (n + 1) for _ in range(UNIT + 1)]
-    walk, rows = [n] * (n + 1), [0] * n
-    for i in range(n - 1, -1, -1):
-        for width in range(1, min(UNIT, n - i - 1) + 1):
-            same[width][i] = same[width][i + 1] + 1 if value[i] == value[i + width] else 0
-        if i + 1 < n:
-            walk[i] = walk[i + 1] if (low[i], low[i + 1]) in near else i + 1
+    rows = [0] * n
     for k in range(1, n):
         rows[k] = rows[k - 1] + (ROWS_AT.get(low[k]) != ROWS_AT.get(low[k - 1]))
+    begun: dict[int, list[tuple]] = {}  # by start: stretches as (end, width, starts by their place in the unit)
+    for a, b, width in repeats(value, unit):
+        least = 3 if width == 1 else 2 * width
+        begun.setdefault(a, []).append((b, width, [Stretch(least) for _ in range(width)], a))
+    a = 0
+    for k in range(1, n + 1):
+        if k == n or (low[k - 1], low[k]) not in near:
+            if k - a >= 3:
+                begun.setdefault(a, []).append((k, 0, [Stretch(3)], a))
+            a = k
+    inside: list[tuple] = []
+
+    def stretched(i: int) -> None:
+        """Ends segments of stretches at i, and begins others there."""
+        for b, width, starts, a in inside:
+            at = starts[(i - a) % width if width else 0]
+            best[i] = min(best[i], at.cheapest(i) + (2.0 * rows[i - 1] if not width else -math.log2(width)))
+        inside[:] = [x for x in inside if x[0] > i] + begun.get(i, [])
+        own = best[i] + (SEGMENT_BITS if i else 0.0)
+        for b, width, starts, a in inside:
+            at = starts[(i - a) % width if width else 0]
+            if i + at.least <= b:
+                at.add(i, own + (brute[i + width] - brute[i] if width else math.log2(47) + 2.0 * (1 - rows[i + 1])))
+
     run = math.inf  # the cheapest segmentation that ends in a brute-force span, which a character at a time extends
     for i in range(n):
+        stretched(i)
         run = min(run, best[i] + (SEGMENT_BITS if i else 0.0)) + brute[i + 1] - brute[i] + mixed * value[i].isalpha() * 0.8
         best[i + 1] = min(best[i + 1], run)
         for j in range(i + 3, min(n, i + longest) + 1):
@@ -121,14 +185,7 @@ def guess_bits(value: str, ranks: Ranks) -> float:
         m = _DATE.match(value, i)
         if m:
             reach(i, m.end(), DATE_BITS if len(m[0]) > 4 else math.log2(130))
-        for width in range(1, min(UNIT, (n - i) // 2) + 1):
-            most = same[width][i] // width + 1
-            for times in {*range(2, min(most, STRETCH // width) + 1), most}:
-                if times > 1 and times * width >= 3:
-                    reach(i, i + times * width, brute[i + width] - brute[i] + math.log2(times))
-        for k in {*range(i + 3, min(walk[i], i + STRETCH) + 1), walk[i]}:
-            if k - i >= 3:
-                reach(i, k, math.log2(47) + math.log2(k - i) + 2.0 * (1 + rows[k - 1] - rows[i + 1]))
+    stretched(n)
     return best[n]
 
 
@@ -155,7 +212,7 @@ def costed(text: str, ranks: Ranks, *, least_bits: float = 45.0, plain_bits: flo
     if "=" in text or ":" in text:
         for m in ASSIGN.finditer(text):
             if len(m[1]) >= shortest:
-                costs[m.span(1)] = guess_bits(m[1], ranks)
+                costs[m.span(1)] = guess_bits(m[1], ranks, math.inf)
                 out.append((m.start(), 0, m.end(), "assign", costs[m.span(1)]))
     if "AKIA" in text:
         out += [(m.start(), 1, m.end(), "access", None) for m in ACCESS.finditer(text)]
@@ -168,7 +225,7 @@ def costed(text: str, ranks: Ranks, *, least_bits: float = 45.0, plain_bits: flo
         before = bisect_right(starts, a)
         if before and reach[before - 1] >= b:
             continue
-        bits = costs[a, b] = guess_bits(value, ranks)
+        bits = costs[a, b] = guess_bits(value, ranks, math.inf)
         if bits >= (plain_bits if value.isalpha() else least_bits):
             out.append((a, 3, b, "guess", bits))
     return sorted(out, key=lambda s: s[:3]), sorted((a, b, bits) for (a, b), bits in costs.items())

@@ -61,3 +61,27 @@ def test_many_and_odd_rows(spark, ranks):
     got = secrets.scan_secrets(docs, words_path=registry.vocabulary()).collect()
     assert len(got) == 10 and sorted(len(r["values"]) for r in got) == [0] * 6 + [1, 1, 3000, 3000]
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_units_of_any_length_and_every_end(ranks, monkeypatch):
+    """Against every repeat and walk, of whatever length and unit; long ones are found as well."""
+    monkeypatch.setattr(secrets, "UNIT", math.inf)
+    cost = lambda v: secrets.guess_bits(v, ranks, math.inf)
+    rng = random.Random(4)
+
+    def slow(value):
+        n, low, best = len(value), value.lower(), [0.0] + [math.inf] * len(value)
+        mixed = float(any(c.isupper() for c in value) and any(c.islower() for c in value))
+        for j in range(1, n + 1):
+            best[j] = min(best[i] + piece(value[i:j], ranks, mixed) + (secrets.SEGMENT_BITS if i else 0.0) for i in range(j))
+        return best[n]
+
+    for _ in range(60):
+        unit = "".join(rng.choice("aZ7$k#9wq") for _ in range(rng.randint(1, 14)))
+        value = (rng.choice(["", "x", "pass"]) + unit * rng.randint(2, 4) + rng.choice(["", unit[:3], "apple", "qwe"]) + rng.choice(["", "asasasasdf", "ababab"]))[:60]
+        assert math.isclose(cost(value), slow(value), abs_tol=1e-6), value
+    unit = "".join(rng.choice("abcdefghijkXYZ0189$") for _ in range(300))
+    assert cost(unit * 40) < cost(unit) + 50
+    tail = "a" * 300 + "pple"
+    assert math.isclose(cost(tail), slow(tail[-20:]) + math.log2(299 / 15), abs_tol=1e-6)
+    assert secrets.costed(f"token={unit * 4}", ranks)[1][0][2] < cost(unit) + 50
