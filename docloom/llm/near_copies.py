@@ -4,9 +4,11 @@ At a similarity of 0.8, 64-bit fingerprints differ in too many bits for pigeonho
 fingerprints are wider here, and shards go by bands of minima over a text's shingles instead: texts that agree in all
 minima of a band share a shard, which those at the similarity do in some band but for 2 pairs in 10,000, and fewer the
 more alike they are. A shard's fingerprints form a BK-tree, and only edges within the radius are followed. Of the pairs
-that it finds, and whose sizes allow the similarity, a shard hands on a few disjoint spanning sets, the nearest links first,
-so that false links hide no true ones; a large shard is cut into chunks, and each pair of chunks is a task. Texts of linked pairs are then compared exactly: first each
-document's nearest link, then all links between documents which these haven't joined.
+that it finds, and whose sizes allow the similarity, a shard hands on a few disjoint spanning sets, the nearest links first;
+a large shard is cut into chunks, and each pair of chunks is a task. Texts of linked pairs are then compared exactly: first each
+document's nearest link, then all links between documents which these haven't joined. Where a link is false, it may have
+hidden true ones: its shards hand on four times as many sets of what is neither joined nor compared yet, again and again until
+there is no false link among the new ones. So every pair within the radius in some shard is compared or joined.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ SEED = 9
 FEW_LINKS = 500_000
 #: Bands of minima, minima a band, longs of a fingerprint, and the bits by which fingerprints of linked texts may differ.
 BANDS, MINIMA, LONGS, RADIUS = 16, 4, 4, 72
-#: Spanning sets of links that a shard hands on: the links of up to twice as many texts are all among them.
-FORESTS = 3
+#: Spanning sets of links that a shard hands on at first, and how many times as many in each round that follows.
+FORESTS, MORE_FORESTS = 3, 4
 #: A bitmap's size for picking the texts to compare.
 SPOTS = 1 << 26
 _MIX = np.random.default_rng(SEED).integers(1, 2**63, size=(2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
@@ -99,10 +102,11 @@ class NearTree:
                 todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool, similarity: float) -> list[tuple[int, int, int]]:
-    """(bits apart, i, j) of links that span what all pairs within the radius connect, the nearest first, FORESTS times.
+def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool, similarity: float, groups: list[int] | None = None, apart: set[tuple[int, int]] = frozenset(), forests: int = FORESTS) -> list[tuple[int, int, int]]:
+    """(bits apart, i, j) of links that span what all pairs within the radius connect, the nearest first, forests times.
 
-    Pairs are those of all members, or, unless one, of members in the tree with the others.
+    Pairs are those of all members, or, unless one, of members in the tree with the others; none are within one of the
+    groups or among those known to be apart (i, j in either order).
     """
     found, far, left, right = NearTree(), array("i"), array("i"), array("i")
     if not one:
@@ -120,23 +124,38 @@ def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool
     d, i, j = (np.frombuffer(x, dtype=np.int32) for x in (far, left, right))
     n = np.array(sizes)
     fits = np.flatnonzero(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
+    if groups is not None:
+        fits = fits[np.array(groups)[i[fits]] != np.array(groups)[j[fits]]]
     todo = fits[np.argsort(d[fits], kind="stable")].tolist()
+    if apart:
+        todo = [k for k in todo if (left[k], right[k]) not in apart and (right[k], left[k]) not in apart]
+    ends = groups if groups is not None else range(len(fps))
     out = []
-    for _ in range(FORESTS):
+    for _ in range(forests):
+        if not todo:
+            break
         forest, rest = Forest(), []
         for k in todo:
-            (out if forest.join(left[k], right[k]) else rest).append(k)
+            (out if forest.join(ends[left[k]], ends[right[k]]) else rest).append(k)
         todo = rest
     return [(far[k], left[k], right[k]) for k in out]
 
 
-def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512) -> DataFrame:
-    """Links a < b and bits apart, d, between classes (cls, n, fp, bands): each shard's spanning set, all shards' together."""
-    dealt = classes.select("cls", "n", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(LONGS)), F.explode("bands").alias("key"))
+def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512, forests: int = FORESTS, only: DataFrame | None = None) -> DataFrame:
+    """Links a < b and bits apart, d, between classes (cls, n, fp, bands): each shard's spanning sets, all shards' together.
+
+    Later rounds give classes a component, within which there are no links, and apart, an array of the classes that they are
+    known not to link with; only has the keys of the shards to look at.
+    """
+    known = {"component": "long", "apart": "array<long>"}
+    known = [F.col(c) if c in classes.columns else F.lit(None).cast(t).alias(c) for c, t in known.items()]
+    dealt = classes.select("cls", "n", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(LONGS)), *known, F.explode("bands").alias("key"))
+    if only is not None:
+        dealt = dealt.join(only, "key", "left_semi")
     shards = dealt.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
     mine = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("k")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.struct(F.least(t, mine).alias("lo"), F.greatest(t, mine).alias("hi"), (mine <= t).alias("tree")))
-    dealt = dealt.join(shards, "key").withColumn("p", F.explode(pairs)).select("key", "p.lo", "p.hi", "p.tree", "cls", "n", *(f"f{k}" for k in range(LONGS)))
+    dealt = dealt.join(shards, "key").withColumn("p", F.explode(pairs)).select("key", "p.lo", "p.hi", "p.tree", "cls", "n", "component", "apart", *(f"f{k}" for k in range(LONGS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
@@ -145,7 +164,10 @@ def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512) -> D
         def links() -> list[tuple[int, int, int]]:
             if len(group) < 2:
                 return []
-            found = spanning_links([g[3] for g in group], [g[2] for g in group], [g[0] for g in group], at[1] == at[2], similarity)
+            place = {g[1]: i for i, g in enumerate(group)}
+            apart = {(i, place[x]) for i, g in enumerate(group) for x in g[5] or () if x in place}
+            groups = [g[1] if g[4] is None else g[4] for g in group]
+            found = spanning_links([g[3] for g in group], [g[2] for g in group], [g[0] for g in group], at[1] == at[2], similarity, groups, apart, forests)
             return [(min(group[i][1], group[j][1]), max(group[i][1], group[j][1]), d) for d, i, j in found]
 
         def emit(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -153,11 +175,11 @@ def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512) -> D
 
         for batch in batches:
             found = []
-            for key, lo, hi, tree, cls, n, *longs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for key, lo, hi, tree, cls, n, component, apart, *longs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (key, lo, hi) != at:
                     found += links()
                     at, group = (key, lo, hi), []
-                group.append((tree, cls, n, sum((f & (2**64 - 1)) << (64 * k) for k, f in enumerate(longs))))
+                group.append((tree, cls, n, sum((f & (2**64 - 1)) << (64 * k) for k, f in enumerate(longs)), component, apart))
             yield emit(found)
         yield emit(links())
 
@@ -251,17 +273,36 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         return batched(both.select("a", "b", "x", "y"), compare, "a long, b long")
 
-    links = staged(shard_links(classes, similarity=similarity), "links")
+    links = staged(shard_links(classes, similarity=similarity, forests=FORESTS), "links")
     either = links.select(F.col("a").alias("end"), "a", "b", "d").union(links.select("b", "a", "b", "d"))
     near = staged(either.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
     edges = staged(similar(near), "edges")
     label = lambda end, named: named.select(F.col("cls").alias(end), F.col("component").alias(f"c_{end}"))
     named = _labels(edges)
-    others = links.select("a", "b").join(label("a", named), "a", "left").join(label("b", named), "b", "left")
-    others = others.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(near, ["a", "b"], "left_anti")
-    edges = staged(edges.unionByName(similar(staged(others, "others"))), "edges")
 
-    keep = classes.select("cls", "own").join(_labels(edges), "cls", "left").groupBy(F.coalesce("component", "cls").alias("c")).agg(F.min("own").alias("own"))
+    def unjoined(links: DataFrame, named: DataFrame) -> DataFrame:
+        pairs = links.select("a", "b").join(label("a", named), "a", "left").join(label("b", named), "b", "left")
+        return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+    others = unjoined(links, named).join(near, ["a", "b"], "left_anti")
+    edges = staged(edges.unionByName(similar(staged(others, "others"))), "edges")
+    named, forests, false = _labels(edges), FORESTS, []
+    while True:
+        false.append(staged(unjoined(links, named), "false"))
+        if false[-1].isEmpty():
+            break
+        bands = lambda end: classes.select(F.col("cls").alias(end), F.col("bands").alias(f"s_{end}"))
+        shards = false[-1].join(bands("a"), "a").join(bands("b"), "b").select(F.explode(F.array_intersect("s_a", "s_b")).alias("key")).distinct()
+        apart = reduce(DataFrame.unionByName, false).distinct()
+        apart = apart.union(apart.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("apart"))
+        forests *= MORE_FORESTS
+        links = staged(shard_links(classes.join(named, "cls", "left").join(apart, "cls", "left"), similarity=similarity, forests=forests, only=staged(shards, "shards")), "links")
+        if links.isEmpty():
+            break
+        edges = staged(edges.unionByName(similar(links.select("a", "b"))), "edges")
+        named = _labels(edges)
+
+    keep = classes.select("cls", "own").join(named, "cls", "left").groupBy(F.coalesce("component", "cls").alias("c")).agg(F.min("own").alias("own"))
     keep = staged(keep.select("own._k", "own._i"), "kept")
     # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by
     return plain.withColumns(key).join(keep.hint("merge"), ["_k", "_i"], "left_semi").dropDuplicates(["_k", "_i"]).select(*plain.columns).toDF(*docs.columns)

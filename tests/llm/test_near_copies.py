@@ -76,3 +76,19 @@ def test_near_copies_without_ids(spark):
 
 def test_fingerprint_width():
     assert simhash.fingerprint("a b c d e f", 5) != simhash.fingerprint("a b c d e f", 4) == brute.fingerprint("a b c d e f")
+
+
+def test_nearer_false_links_hide_nothing(spark, monkeypatch):
+    """One spanning set at first: in crowds around the similarity its links are mostly false."""
+    monkeypatch.setattr(near_copies, "FORESTS", 1)
+    rng = random.Random(21)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(900)}" for _ in range(70)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rng.choice([1, 1, 2])):
+                copy[rng.randrange(70)] = f"w{rng.randrange(900)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == set(brute_components(texts))
