@@ -62,7 +62,8 @@ def bootstrap_mae(scores: DataFrame, by: list[str] | None = None, *, rounds: int
     sizes = df.groupBy(*keys).agg(F.count("*").alias("n"))
     draws = rows.select(*keys, F.col("i").alias("j")).join(sizes, keys).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draws.withColumn("i", draw).join(rows.select(*keys, "i", "e"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("e").alias("m"))
+    # never broadcast: rows grow with the input, and the driver would hold them all
+    means = draws.withColumn("i", draw).join(rows.select(*keys, "i", "e").hint("merge"), [*keys, "i"]).groupBy(*keys, "b").agg(F.avg("e").alias("m"))
     sorted_means = means.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("ms"))
     at = lambda p: F.when(F.col("n") >= 2, F.round(F.element_at("ms", min(rounds - 1, int(rounds * p)) + 1), 6))
     out = sizes.join(sorted_means, keys).select(*keys, "n", at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
