@@ -4,27 +4,26 @@ At a similarity of 0.8, 64-bit fingerprints differ in too many bits for pigeonho
 fingerprints are wider here, and shards go by bands of minima over a text's shingles instead: texts that agree in all
 minima of a band share a shard, which those at the similarity do in some band but for 2 pairs in 10,000, and fewer the
 more alike they are. A shard's fingerprints form a BK-tree, and only edges within the radius are followed. Of the pairs
-that it finds, and whose sizes allow the similarity, a shard hands on a few disjoint spanning sets, the nearest links first;
-a large shard is cut into chunks, and each pair of chunks is a task. Texts of linked pairs are then compared exactly: first each
-document's nearest link, then all links between documents which these haven't joined. Where a link is false, it may have
-hidden true ones: its shards hand on four times as many sets of what is neither joined nor compared yet, again and again until
-there is no false link among the new ones. So every pair within the radius in some shard is compared or joined.
+that it finds, and whose sizes allow the similarity, a shard hands on a spanning set; a large shard is cut into chunks, and each
+pair of chunks is a task. What these links hold together is a group, in which every pair within the radius of some shard lies.
+Then each group's texts, not its pairs, are dealt out, a large group's by pairs of chunks again, and a task counts the shingles
+that its texts share, all pairs of a few hundred at once. It hands on a spanning set of the links that are similar enough. So no
+link is lost, a false link hides nothing, and rows do not grow with the pairs of a group.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import batched, numbered, staged, text_of
+from docloom.llm.common import batched, join_named, numbered, staged, text_of
 from docloom.llm.simhash import Forest, components, shingle_hashes
 
 SEED = 9
@@ -32,8 +31,10 @@ SEED = 9
 FEW_LINKS = 500_000
 #: Bands of minima, minima a band, longs of a fingerprint, and the bits by which fingerprints of linked texts may differ.
 BANDS, MINIMA, LONGS, RADIUS = 16, 4, 4, 72
-#: Spanning sets of links that a shard hands on at first, and how many times as many in each round that follows.
-FORESTS, MORE_FORESTS = 3, 4
+#: Spanning sets of links that a shard hands on: one holds together all that its links do.
+FORESTS = 1
+#: A group's texts are compared in this many chunks, of at least and at most so many shingles; shorter texts count as LEAST_SHINGLES.
+CHUNKS, CHUNK, LEAST_SHINGLES = 8, (1 << 15, 1 << 19), 128
 #: A bitmap's size for picking the texts to compare.
 SPOTS = 1 << 26
 _MIX = np.random.default_rng(SEED).integers(1, 2**63, size=(2, BANDS * MINIMA), dtype=np.uint64) | np.uint64(1)
@@ -102,11 +103,10 @@ class NearTree:
                 todo += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
 
-def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool, similarity: float, groups: list[int] | None = None, apart: set[tuple[int, int]] = frozenset(), forests: int = FORESTS) -> list[tuple[int, int, int]]:
-    """(bits apart, i, j) of links that span what all pairs within the radius connect, the nearest first, forests times.
+def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool, similarity: float, forests: int = FORESTS) -> list[tuple[int, int]]:
+    """(i, j) of links that span what all pairs within the radius connect, the nearest first, forests times.
 
-    Pairs are those of all members, or, unless one, of members in the tree with the others; none are within one of the
-    groups or among those known to be apart (i, j in either order).
+    Pairs are those of all members, or, unless one, of members in the tree with the others.
     """
     found, far, left, right = NearTree(), array("i"), array("i"), array("i")
     if not one:
@@ -124,73 +124,135 @@ def spanning_links(fps: list[int], sizes: list[int], tree: list[bool], one: bool
     d, i, j = (np.frombuffer(x, dtype=np.int32) for x in (far, left, right))
     n = np.array(sizes)
     fits = np.flatnonzero(np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6)
-    if groups is not None:
-        fits = fits[np.array(groups)[i[fits]] != np.array(groups)[j[fits]]]
-    todo = fits[np.argsort(d[fits], kind="stable")].tolist()
-    if apart:
-        todo = [k for k in todo if (left[k], right[k]) not in apart and (right[k], left[k]) not in apart]
-    ends = groups if groups is not None else range(len(fps))
-    out = []
+    todo, out = fits[np.argsort(d[fits], kind="stable")].tolist(), []
     for _ in range(forests):
         if not todo:
             break
         forest, rest = Forest(), []
         for k in todo:
-            (out if forest.join(ends[left[k]], ends[right[k]]) else rest).append(k)
+            (out if forest.join(left[k], right[k]) else rest).append(k)
         todo = rest
-    return [(far[k], left[k], right[k]) for k in out]
+    return [(left[k], right[k]) for k in out]
 
 
-def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512, forests: int = FORESTS, only: DataFrame | None = None) -> DataFrame:
-    """Links a < b and bits apart, d, between classes (cls, n, fp, bands): each shard's spanning sets, all shards' together.
+def _in_pairs(k: Column) -> Column:
+    """A class's places (lo, hi, tree) when its group is cut into k chunks and each pair of chunks is a task."""
+    mine = F.pmod(F.xxhash64("cls", F.lit(3)), k).cast("int")
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda t: F.struct(F.least(t, mine).alias("lo"), F.greatest(t, mine).alias("hi"), (mine <= t).alias("tree")))
 
-    Later rounds give classes a component, within which there are no links, and apart, an array of the classes that they are
-    known not to link with; only has the keys of the shards to look at.
+
+def _in_groups(dealt: DataFrame, links: Callable[[list[tuple], bool], list[tuple[int, int]]]) -> DataFrame:
+    """Distinct a < b of what links finds in each (key, lo, hi) of dealt (key, lo, hi, tree, cls and more).
+
+    links gets a group's rows, from tree on, and whether its two chunks are one, and gives places in the group.
     """
-    known = {"component": "long", "apart": "array<long>"}
-    known = [F.col(c) if c in classes.columns else F.lit(None).cast(t).alias(c) for c, t in known.items()]
-    dealt = classes.select("cls", "n", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(LONGS)), *known, F.explode("bands").alias("key"))
-    if only is not None:
-        dealt = dealt.join(only, "key", "left_semi")
-    shards = dealt.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
-    mine = F.pmod(F.xxhash64("cls", F.lit(3)), F.col("k")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda t: F.struct(F.least(t, mine).alias("lo"), F.greatest(t, mine).alias("hi"), (mine <= t).alias("tree")))
-    dealt = dealt.join(shards, "key").withColumn("p", F.explode(pairs)).select("key", "p.lo", "p.hi", "p.tree", "cls", "n", "component", "apart", *(f"f{k}" for k in range(LONGS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
         group: list[tuple] = []
 
-        def links() -> list[tuple[int, int, int]]:
-            if len(group) < 2:
-                return []
-            place = {g[1]: i for i, g in enumerate(group)}
-            apart = {(i, place[x]) for i, g in enumerate(group) for x in g[5] or () if x in place}
-            groups = [g[1] if g[4] is None else g[4] for g in group]
-            found = spanning_links([g[3] for g in group], [g[2] for g in group], [g[0] for g in group], at[1] == at[2], similarity, groups, apart, forests)
-            return [(min(group[i][1], group[j][1]), max(group[i][1], group[j][1]), d) for d, i, j in found]
+        def found() -> list[tuple[int, int]]:
+            ends = [(group[i][1], group[j][1]) for i, j in links(group, at[1] == at[2])] if len(group) > 1 else []
+            return [(min(e), max(e)) for e in ends]
 
-        def emit(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["a", "b", "d"])
+        def emit(ends: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], pa.int64()) for i in range(2)], names=["a", "b"])
 
         for batch in batches:
-            found = []
-            for key, lo, hi, tree, cls, n, component, apart, *longs in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            ends = []
+            for key, lo, hi, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (key, lo, hi) != at:
-                    found += links()
+                    ends += found()
                     at, group = (key, lo, hi), []
-                group.append((tree, cls, n, sum((f & (2**64 - 1)) << (64 * k) for k, f in enumerate(longs)), component, apart))
-            yield emit(found)
-        yield emit(links())
+                group.append(tuple(row))
+            yield emit(ends)
+        yield emit(found())
 
     ordered = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cls")
-    return batched(ordered, run, "a long, b long, d long").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return batched(ordered, run, "a long, b long").distinct()
+
+
+def shard_links(classes: DataFrame, *, similarity: float, chunk: int = 512) -> DataFrame:
+    """Links a < b between classes (cls, n, fp, bands): each shard's spanning sets, all shards' together."""
+    dealt = classes.select("cls", "n", *(F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(LONGS)), F.explode("bands").alias("key"))
+    shards = dealt.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / chunk).cast("int").alias("k"))
+    dealt = dealt.join(shards, "key").withColumn("p", F.explode(_in_pairs(F.col("k"))))
+    forests = FORESTS
+
+    def links(group: list[tuple], one: bool) -> list[tuple[int, int]]:
+        tree, _, sizes, *longs = zip(*group, strict=True)
+        fps = [sum((f & (2**64 - 1)) << (64 * k) for k, f in enumerate(fp)) for fp in zip(*longs, strict=True)]
+        return spanning_links(fps, sizes, tree, one, similarity, forests)
+
+    return _in_groups(dealt.select("key", "p.lo", "p.hi", "p.tree", "cls", "n", *(f"f{k}" for k in range(LONGS))), links)
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """How many hashes each of left shares with each of right."""
+    ends, rows = [np.concatenate(x) for x in (left, right)], [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
+    shared = np.intersect1d(*ends)
+    out = np.zeros((len(left), len(right)))
+    where = []
+    for hashes, row in zip(ends, rows, strict=True):
+        column = np.searchsorted(shared, hashes)
+        there = np.flatnonzero((column < len(shared)) & (np.r_[shared, 0][column] == hashes))
+        there = there[np.argsort(column[there], kind="stable")]
+        where.append((row[there], column[there]))
+    for k in range(0, len(shared), slab):
+        marks = []
+        for (row, column), sets in zip(where, (left, right), strict=True):
+            a, b = np.searchsorted(column, (k, k + slab))
+            m = np.zeros((len(sets), min(slab, len(shared) - k)), dtype=np.float32)
+            m[row[a:b], column[a:b] - k] = 1
+            marks.append(m)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def similar_links(sets: list[np.ndarray], tree: list[bool], one: bool, similarity: float, part: int = 256) -> list[tuple[int, int]]:
+    """(i, j) of links that span what all similar pairs connect; every pair is compared unless it is joined already.
+
+    Pairs are those of all members, or, unless one, of members in the tree with the others.
+    """
+    n = np.array([len(s) for s in sets])
+    sides = [np.flatnonzero(np.array(tree) | one), np.flatnonzero(~np.array(tree) | one)]
+    sides = [x[np.argsort(n[x], kind="stable")].tolist() for x in sides]
+    forest, out = Forest(), []
+    for a in range(0, len(sides[0]), part):
+        for b in range(a if one else 0, len(sides[1]), part):
+            left, right = sides[0][a : a + part], sides[1][b : b + part]
+            apart = n[left[-1]] < similarity * n[right[0]] - 1e-6 or n[right[-1]] < similarity * n[left[0]] - 1e-6
+            if apart or len({forest.find(i) for i in (*left, *right)}) == 1:
+                continue
+            hits = _common([sets[i] for i in left], [sets[j] for j in right]) * (1 + similarity) >= similarity * (n[left][:, None] + n[right]) - 1e-6
+            out += [(left[i], right[j]) for i, j in np.argwhere(hits).tolist() if forest.join(left[i], right[j])]
+    return out
+
+
+def similar_in_groups(groups: DataFrame, texts: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """Links a < b of similar texts (cls, z) within groups (cls, component, n): of each task a spanning set.
+
+    A text is dealt out once for each chunk of its group, of which there are few: chunks grow with the group.
+    """
+    sizes = groups.groupBy("component").agg(F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))).alias("w"), F.count("*").alias("members"))
+    chunk = F.greatest(F.lit(CHUNK[0]), F.least(F.lit(CHUNK[1]), F.col("w") / CHUNKS))
+    sizes = sizes.select("component", F.ceil(F.col("w") / chunk).cast("int").alias("k"), "members")
+    placed = staged(join_named(groups, staged(sizes, "sizes"), "component", "members").select("cls", "component", "k"), "placed")
+    dealt = texts.join(placed, "cls").withColumn("p", F.explode(_in_pairs(F.col("k"))))
+
+    def links(group: list[tuple], one: bool) -> list[tuple[int, int]]:
+        tree, _, packed = zip(*group, strict=True)
+        return similar_links([shingle_set(zlib.decompress(z).decode("utf-8", "surrogatepass"), width) for z in packed], tree, one, similarity)
+
+    return _in_groups(dealt.select(F.col("component").alias("key"), "p.lo", "p.hi", "p.tree", "cls", "z"), links)
 
 
 def _labels(edges: DataFrame) -> DataFrame:
     """cls and component of every end of edges (a < b)."""
     if edges.count() > FEW_LINKS:
-        return components(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("cls"), "component")
+        # components gives no row to the node that names a component
+        named = components(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("node").alias("cls"), "component")
+        return staged(named.union(named.select("component", "component")).distinct(), "labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -256,52 +318,10 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     first = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_k"), F.col("_i"))
     classes = staged(prints.groupBy("cls").agg(F.min(first).alias("own"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "classes")
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar enough, by their texts."""
-        ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        spots = classes.join(ends, "cls", "left_semi").select(F.pmod(F.xxhash64("own._k", "own._i"), F.lit(SPOTS)).alias("v"))
-        texts = _packed(plain.select(text_of(text).alias("text"), F.pmod(F.xxhash64(key["_k"], key["_i"]), F.lit(SPOTS)).alias("v")), spots, width)
-        both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("z").alias("x")), "a").join(texts.select(F.col("cls").alias("b"), F.col("z").alias("y")), "b")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    s, t = (shingle_set(zlib.decompress(z).decode("utf-8", "surrogatepass"), width) for z in (x, y))
-                    hit.append(len(np.intersect1d(s, t, assume_unique=True)) * (1 + similarity) >= similarity * (len(s) + len(t)) - 1e-6)
-                yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
-
-        return batched(both.select("a", "b", "x", "y"), compare, "a long, b long")
-
-    links = staged(shard_links(classes, similarity=similarity, forests=FORESTS), "links")
-    either = links.select(F.col("a").alias("end"), "a", "b", "d").union(links.select("b", "a", "b", "d"))
-    near = staged(either.groupBy("end").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "nearest")
-    edges = staged(similar(near), "edges")
-    label = lambda end, named: named.select(F.col("cls").alias(end), F.col("component").alias(f"c_{end}"))
-    named = _labels(edges)
-
-    def unjoined(links: DataFrame, named: DataFrame) -> DataFrame:
-        pairs = links.select("a", "b").join(label("a", named), "a", "left").join(label("b", named), "b", "left")
-        return pairs.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-    others = unjoined(links, named).join(near, ["a", "b"], "left_anti")
-    edges = staged(edges.unionByName(similar(staged(others, "others"))), "edges")
-    named, forests, false = _labels(edges), FORESTS, []
-    while True:
-        false.append(staged(unjoined(links, named), "false"))
-        if false[-1].isEmpty():
-            break
-        bands = lambda end: classes.select(F.col("cls").alias(end), F.col("bands").alias(f"s_{end}"))
-        shards = false[-1].join(bands("a"), "a").join(bands("b"), "b").select(F.explode(F.array_intersect("s_a", "s_b")).alias("key")).distinct()
-        apart = reduce(DataFrame.unionByName, false).distinct()
-        apart = apart.union(apart.select("b", "a")).groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("apart"))
-        forests *= MORE_FORESTS
-        links = staged(shard_links(classes.join(named, "cls", "left").join(apart, "cls", "left"), similarity=similarity, forests=forests, only=staged(shards, "shards")), "links")
-        if links.isEmpty():
-            break
-        edges = staged(edges.unionByName(similar(links.select("a", "b"))), "edges")
-        named = _labels(edges)
-
+    groups = staged(_labels(staged(shard_links(classes, similarity=similarity), "links")).join(classes.select("cls", "n"), "cls"), "groups")
+    spots = classes.join(groups, "cls", "left_semi").select(F.pmod(F.xxhash64("own._k", "own._i"), F.lit(SPOTS)).alias("v"))
+    texts = _packed(plain.select(text_of(text).alias("text"), F.pmod(F.xxhash64(key["_k"], key["_i"]), F.lit(SPOTS)).alias("v")), spots, width)
+    named = _labels(staged(similar_in_groups(groups, texts, width=width, similarity=similarity), "edges"))
     keep = classes.select("cls", "own").join(named, "cls", "left").groupBy(F.coalesce("component", "cls").alias("c")).agg(F.min("own").alias("own"))
     keep = staged(keep.select("own._k", "own._i"), "kept")
     # a sort-merge join at every size: the texts are dealt out once, and by the key that repeats go by

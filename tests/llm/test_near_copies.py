@@ -92,3 +92,45 @@ def test_nearer_false_links_hide_nothing(spark, monkeypatch):
             texts.append(" ".join(copy))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == set(brute_components(texts))
+
+
+def test_a_crowd_of_near_copies_makes_no_rows_of_pairs(spark, monkeypatch):
+    """One large group around the similarity: what is written follows its texts, not their pairs."""
+    written, staged = {}, near_copies.staged
+
+    def counted(df, label):
+        out = staged(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", counted)
+    rng = random.Random(33)
+    base, texts = [f"w{rng.randrange(900)}" for _ in range(90)], []
+    for _ in range(500):
+        copy = list(base)
+        for _ in range(rng.choice([1, 3, 4])):
+            copy[rng.randrange(90)] = f"w{rng.randrange(900)}"
+        texts.append(" ".join(copy))
+    want = set(brute_components(texts))
+    assert 20 < len(want) < 400
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == want
+    assert max(written.values()) <= near_copies.BANDS * len(texts)
+
+
+def test_blocks_of_a_group_compare_all_pairs():
+    rng = random.Random(5)
+    sets = [near_copies.np.unique([rng.randrange(-20, 60) for _ in range(rng.randrange(1, 50))]) for _ in range(60)]
+    for one in (True, False):
+        tree = [rng.random() < 0.5 for _ in sets]
+        pairs = [(i, j) for i in range(60) for j in range(60) if i < j and one or not one and tree[i] and not tree[j]]
+        want = [(i, j) for i, j in pairs if 2 * len(set(sets[i]) & set(sets[j])) >= len(set(sets[i]) | set(sets[j]))]
+        for part in (1, 7, 256):
+            got = near_copies.similar_links(sets, tree, one, 0.5, part)
+            roots = []
+            for links in (want, got):
+                forest = near_copies.Forest()
+                for i, j in links:
+                    forest.join(i, j)
+                roots.append([forest.find(i) for i in range(60)])
+            assert roots[0] == roots[1] and len(got) < 60
