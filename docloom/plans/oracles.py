@@ -237,7 +237,7 @@ JD_MATCH = f"{_SEC_ALL}, {matched('sec_all')} select doc_id, jd_id, jd_score, {G
 JD_PLACES = rf"""with sx_all as materialized ({SECTIONS} select * from sx), {_JOB_LISTS},
 wl as (select doc_id, section, text, term, length(regexp_extract(lower(text), '^((?s).*?)' || pat, 1)) as before from sx_all, (values {_TERMS}) as tv(term, pat) where regexp_matches(lower(text), pat)),
 ww as (select *, {words('text')} as ws, {count('substr(text, 1, before)')} as k from wl)
-select doc_id, jd_id, term as skill, section, array_to_string(ws[greatest(0, k - 6) + 1:k + 7], ' ') as snippet from ww join jl on list_contains(req, term) or list_contains(nic, term) where jd_id < 5"""
+select doc_id, jd_id, term as skill, section, array_to_string(ws[greatest(0, k - 6) + 1:k + 7], ' ') as snippet from ww join jl on list_contains(req, term) or list_contains(nic, term)"""
 JD_ADJUSTED = f"""with sec_all as materialized ({SECTIONS} select * from sec), {SCORED}, {matched('sec_all')},
 pn as (select mt.*, j.contact, j.summary, j.experience, j.skills, j.education, j.projects, j.length, case when len(req) > 0 then round((1 - required_ratio) * 3, 1) else 0.0 end as pen, role_match and j.summary < 10 as better from mt join joined j using (doc_id)),
 ad as (select *, greatest(0.0, round(skills - pen, 1))::double as s_skills, case when better then least(10.0, round(summary + 1, 1)) else summary end::double as s_summary from pn),
